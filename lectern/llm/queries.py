@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, oversized, quality, sentences, termfreq, tokenizer
+from . import leakage, neighbours, oversized, quality, sentences, termfreq, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_terms(spark, sf_dir).where("mark is not null").select("field", "term", "mark")
 
 
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "passage_vectors"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(p4_nearest(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = _table(spark, sf_dir, "passages").where((F.col("type") == "text") & F.col("content").isNotNull())
     return sentences.sentence_rows(passages).withColumn("end_pos", F.col("end_pos").cast("int"))
@@ -59,7 +67,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_terms, p5_found, p6_ids, p7_found, p7_shares, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_nearest, p5_found, p6_ids, p7_found, p7_shares, p8_found, p8_statistics)}
 
 
 _TERMS = " union all ".join(
