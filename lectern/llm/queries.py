@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, neighbours, oversized, quality, sentences, termfreq, tokenizer
+from . import forest, leakage, neighbours, oversized, quality, sentences, termfreq, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _titles(spark: SparkSession, sf_dir: str) -> forest.Found:
+    return forest.near_duplicates(_table(spark, sf_dir, "papers"), "clean_id", "title", run=1, least=0.6, least_set=4)
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> forest.Found:
+    return forest.near_duplicates(_table(spark, sf_dir, "passages").where("type = 'text'"), "passage_id", "content", run=3, least=0.5, least_words=40)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = forest.record_pairs(_titles(spark, sf_dir)).withColumn("field", F.lit("title"))
+    content = forest.record_pairs(_contents(spark, sf_dir)).withColumn("field", F.lit("content"))
+    return title.unionByName(content).select("field", "key_a", "key_b")
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = forest.groups(_titles(spark, sf_dir)).withColumn("field", F.lit("title"))
+    content = forest.groups(_contents(spark, sf_dir)).withColumn("field", F.lit("content"))
+    return title.unionByName(content).select("field", "key", "class_id", "group_id", "links")
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = oversized.block_items(_table(spark, sf_dir, "parsed_papers"))
     return oversized.split_oversized(blocks.unionByName(oversized.passage_items(_table(spark, sf_dir, "passages"))))
@@ -67,7 +87,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_nearest, p5_found, p6_ids, p7_found, p7_shares, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_nearest, p5_found, p6_ids, p7_found, p7_shares, p8_found, p8_statistics)}
 
 
 _TERMS = " union all ".join(
