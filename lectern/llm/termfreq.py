@@ -16,7 +16,7 @@ from .distinct import distinct_by
 
 RARE, COMMON = 3, 0.25
 #: Rows of partial counts in a partition before it is split further, and terms kept by a task before they are passed on.
-PARTITION_ROWS, HELD = 2_000_000, 400_000
+PARTITION_ROWS, HELD = 150_000, 400_000
 #: Bits of the first partitioning, and the memory of each aggregation.
 BITS, MEMORY = 10, "300MB"
 
