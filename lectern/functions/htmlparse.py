@@ -233,5 +233,9 @@ def parse_pages(pages: DataFrame, key: str = "arxiv_id", html: str = "html", fla
     parsed = pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, sections array<struct<section_id:string, heading:string, blocks:array<struct<section_id:string, type:string, content:string>>>>")
     blocks = F.flatten(F.transform("sections", lambda s: s["blocks"]))
     words = F.aggregate(blocks, F.lit(0), lambda n, x: n + F.size(F.filter(F.split(x["content"], r"(?U)\s+"), lambda w: w != "")))
-    counts = F.create_map(*[y for t in ("text", "table", "figure", "equation") for y in (F.lit(t), F.size(F.filter(blocks, lambda x, t=t: x["type"] == t)))])
+
+    def number(kind: str):
+        return F.size(F.filter(blocks, lambda x: x["type"] == kind))
+
+    counts = F.create_map(*[y for t in ("text", "table", "figure", "equation") for y in (F.lit(t), number(t))])
     return parsed.withColumn("total_words", words).withColumn("block_counts", counts)
