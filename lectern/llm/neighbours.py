@@ -28,6 +28,8 @@ SAMPLE, LIST_SIZE, LISTS, PROBES = 20_000, 400, 4096, 8
 BLOCK, SIGMA = 24, 2.1
 #: Rows of a list that are compared at a time; longer lists are split into parts of so many.
 PART = 2_000
+#: Pairs of vectors whose partial distances are in memory at a time.
+PAIRS = 250_000
 
 
 def usable(vector: np.ndarray | None, d: int) -> bool:
@@ -63,7 +65,7 @@ def scan(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, own: np.ndar
     """
     d = members.shape[1]
     rows_q, rows_m, dist = [], [], []
-    step = max(1, 2_000_000 // max(1, len(members)))
+    step = max(1, PAIRS // max(1, len(members)))
     for lo in range(0, len(queries), step):
         q = queries[lo : lo + step]
         limit = best[lo : lo + step]
@@ -80,7 +82,7 @@ def scan(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, own: np.ndar
         so_far = part[i, j]
         while done < d and len(i):
             cols = slice(done, done + block)
-            so_far = so_far + ((q[i][:, cols] - members[j][:, cols]) ** 2).sum(1)
+            so_far = so_far + ((q[:, cols][i] - members[:, cols][j]) ** 2).sum(1)
             done = min(d, done + block)
             keep = so_far <= limit[i] if done == d else so_far * (d / done) <= limit[i] * (1 + sigma * math.sqrt(2 / done)) ** 2
             i, j, so_far = i[keep], j[keep], so_far[keep]
