@@ -66,8 +66,11 @@ def clean_latex(text: Column) -> Column:
     for _ in range(STYLE_PASSES):
         c = F.regexp_replace(c, STYLE, "$1")
     c = F.regexp_replace(c, r"[ \t]+", " ")
-    blank = ~F.coalesce(c, F.lit("")).rlike(r"(?U)\S")
-    return F.when(blank & t.rlike(r"(?U)\S"), t).otherwise(c)
+    done = bound(c, lambda x: F.when(~x.rlike(r"(?U)\S") & t.rlike(r"(?U)\S"), t).otherwise(x))
+    # most texts have none of the commands
+    noisy = F.contains(t, F.lit("\\")) | F.contains(t, F.lit("color"))
+    plain = F.when(t.rlike(r"[ \t]{2}|\t") & t.rlike(r"(?U)\S"), F.regexp_replace(t, r"[ \t]+", " ")).otherwise(t)
+    return F.when(noisy, done).otherwise(plain)
 
 
 def clean_latex_strict(text: Column) -> Column:
@@ -92,14 +95,23 @@ def tokens(text: Column, config: TokenizerConfig = TokenizerConfig()) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of a scientific text; its abbreviations end none. The text itself if it has no end."""
     kept = F.regexp_replace(text, r"(?i)(?U)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.", "$1" + _DOT)
-    parts = F.filter(F.transform(F.split(kept, r"(?<=[.!?])(?U)\s+"), lambda x: F.trim(F.translate(x, _DOT, "."))), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(kept, r"(?<=[.!?])(?U)\s+"), lambda x: F.regexp_replace(F.translate(x, _DOT, "."), r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(parts)
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(items: Column, n: int = 8) -> Column:
     """All runs of ``n`` consecutive items, joined by spaces; none if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(items) - n), lambda i: F.array_join(F.slice(items, i + 1, n), " "))
-    return F.when(F.size(items) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        places = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+
+    return bound(items, runs)
 
 
 def plain_title(title: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import sentences
+from ..functions.text import bound, sentences
 
 MARKER = "[EQUATION]"
 #: Fixed value: passages of more words are flagged, whatever the packing's limits.
@@ -46,7 +46,7 @@ def section_paths(papers: DataFrame, key: str = "arxiv_id") -> DataFrame:
     last = F.try_element_at(F.filter("heads", lambda x: x["i"] == sid), F.lit(-1))["h"]
     own = F.when(F.coalesce(last, F.lit("")) == "", sid).otherwise(last)
     chain = F.concat(real, F.array(own))
-    slim = F.filter(chain, lambda x, i: (i == 0) | (x != F.get(chain, i - 1)))
+    slim = bound(chain, lambda c: F.filter(c, lambda x, i: (i == 0) | (x != F.get(c, i - 1))))
     abstract = F.lower(sid).contains("abstract")
     return rows.select(F.col(key), "s", sid.alias("section_id"), F.when(abstract, "Abstract").otherwise(F.array_join(slim, " > ")).alias("section_path"), (~abstract & (F.size(real) < F.size(prefixes))).alias("missing"))
 

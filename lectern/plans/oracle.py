@@ -59,7 +59,7 @@ _ABBR = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
 def sentences(x: str) -> str:
     kept = f"regexp_replace({x}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({_ABBR})\\.', '\\1\\2' || chr(57344), 'g')"
     cut = f"regexp_replace({kept}, '([.!?]){WS}+', '\\1' || chr(57345), 'g')"
-    return f"list_filter(list_transform(string_split({cut}, chr(57345)), lambda s: trim(replace(s, chr(57344), '.'))), lambda s: s <> '')"
+    return f"list_filter(list_transform(string_split({cut}, chr(57345)), lambda s: regexp_replace(replace(s, chr(57344), '.'), '^{WS}+|{WS}+$', '', 'g')), lambda s: s <> '')"
 
 
 def _bm25(field: str, k: int = 10, queries: str = "select item_id query_id, text query from eval_items") -> str:
