@@ -43,7 +43,7 @@ def section_paths(papers: DataFrame, key: str = "arxiv_id") -> DataFrame:
     prefixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).otherwise(F.array().cast("array<string>"))
     named = F.transform(prefixes, lambda p: F.try_element_at(F.filter("heads", lambda x: x["i"] == p), F.lit(-1))["h"])
     real = F.filter(named, lambda h: h.isNotNull() & (h != ""))
-    last = F.try_element_at(F.filter("heads", lambda x: x["i"] == sid), F.lit(-1))["h"]
+    last = F.when(F.col("own.i").isNull(), F.col("own.h")).otherwise(F.try_element_at(F.filter("heads", lambda x: x["i"] == sid), F.lit(-1))["h"])
     own = F.when(F.coalesce(last, F.lit("")) == "", sid).otherwise(last)
     chain = F.concat(real, F.array(own))
     slim = bound(chain, lambda c: F.filter(c, lambda x, i: (i == 0) | (x != F.get(c, i - 1))))

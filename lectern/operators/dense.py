@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 #: Queries that are compared with all vectors at a time; each block is broadcast.
@@ -76,6 +77,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "passa
     spark = vectors.sparkSession
     kd, qd = vectors.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
     schema = f"`{query_key}` {qd}, `{key}` {kd}, score double"
+    qa, ka = to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(vectors.schema[key].dataType)
     found = None
     rows = queries.where(F.col(vector).isNotNull()).select(query_key, vector).toLocalIterator()
     while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
@@ -104,7 +106,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "passa
                     order = sorted(range(len(a)), key=lambda j: (-round(c[j], 9), a[j]))[:k]
                     ids_of[i], scores_of[i] = a[order], c[order]
             n = [len(a) for a in ids_of]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, m in zip(names, n) for _ in range(m)], pa.int64() if qd in ("bigint", "int") else pa.string()), pa.array([x for a in ids_of for x in a], pa.int64() if kd in ("bigint", "int") else pa.string()), pa.array(np.concatenate(scores_of) if scores_of else [], pa.float64())], names=[query_key, key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, m in zip(names, n) for _ in range(m)], qa), pa.array([x for a in ids_of for x in a], ka), pa.array(np.concatenate(scores_of) if scores_of else [], pa.float64())], names=[query_key, key, "score"])
 
         part = vectors.select(key, vector).mapInArrow(best, schema)
         found = part if found is None else found.unionByName(part)

@@ -119,9 +119,9 @@ def queries() -> dict[str, str]:
         "section_path": f"""select arxiv_id, (s - 1)::int s, sid section_id, case when contains(lower(sid), 'abstract') then 'Abstract' else array_to_string(list_transform(list_filter(range(1, len(chain) + 1), lambda i: i = 1 or chain[i] <> chain[i - 1]), lambda i: chain[i]), ' > ') end section_path,
             not contains(lower(sid), 'abstract') and len(found) < n_prefix missing
             from (select *, list_concat(found, [case when coalesce(own, '') = '' then sid else own end]) chain from (
-              select arxiv_id, s, sid, n_prefix, trim(list_filter(sections, lambda x: x.section_id = sid)[-1].heading) own, list_filter(list_transform(prefixes, lambda p: trim(list_filter(sections, lambda x: x.section_id = p)[-1].heading)), lambda h: h is not null and h <> '') found from (
-                select arxiv_id, s, sid, sections, len(string_split(sid, '.')) - 1 n_prefix, list_transform(range(1, len(string_split(sid, '.'))), lambda n: array_to_string(string_split(sid, '.')[1:n], '.')) prefixes
-                from (select arxiv_id, sections, coalesce(sec.section_id, '') sid, s from (select arxiv_id, sections, unnest(sections) sec, unnest(range(1, len(sections) + 1)) s from {PP})))))""",
+              select arxiv_id, s, sid, n_prefix, trim(case when sec.section_id is null then sec.heading else list_filter(sections, lambda x: x.section_id = sid)[-1].heading end) own, list_filter(list_transform(prefixes, lambda p: trim(list_filter(sections, lambda x: x.section_id = p)[-1].heading)), lambda h: h is not null and h <> '') found from (
+                select arxiv_id, s, sid, sec, sections, len(string_split(sid, '.')) - 1 n_prefix, list_transform(range(1, len(string_split(sid, '.'))), lambda n: array_to_string(string_split(sid, '.')[1:n], '.')) prefixes
+                from (select arxiv_id, sections, sec, coalesce(sec.section_id, '') sid, s from (select arxiv_id, sections, unnest(sections) sec, unnest(range(1, len(sections) + 1)) s from {PP})))))""",
         "pack_units": f"""with recursive u as (select doc_id, i, t, len({words('t')}) w from (select doc_id, unnest(s) t, unnest(range(1, len(s) + 1)) i from (select doc_id, {sentences('text')} s from documents where text <> ''))),
             f as (select doc_id, 1::bigint i, 0 chunk, w::bigint size from u where i = 1 union all
               select u.doc_id, u.i, f.chunk + case when f.size >= 250 or f.size > 0 and f.size + u.w > 350 then 1 else 0 end, case when f.size >= 250 or f.size > 0 and f.size + u.w > 350 then u.w else f.size + u.w end from f join u on u.doc_id = f.doc_id and u.i = f.i + 1)
