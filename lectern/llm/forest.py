@@ -23,7 +23,7 @@ from .termfreq import terms
 #: Trees, values of the signature that are a tree's own, values in a tree's order (it goes on with the next tree's), and the least depth.
 TREES, OWN, DEPTH, LEAST = 24, 4, 6, 2
 #: Records that share a prefix before it is made longer.
-LEAF = 12
+LEAF = 24
 #: A prefix shared by so many records, and by this share of all, gets a place in the shuffle for each longer prefix.
 HOT, HOT_SHARE = 20_000, 1e-3
 #: Deviations of the signatures' estimate below the least similarity that are let pass to the exact check.

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words of a stretch, and the share of an item's words that must lie in stretches.
 STRETCH, SHARE = 8, 0.5
@@ -155,6 +156,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
     spark = docs.sparkSession
     dk, ik = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"`{doc_key}` {dk}, `{item_key}` {ik}, share double"
+    arrow = to_arrow_type(items.schema[item_key].dataType)
     done = None
     for block in item_blocks(items, item_key, item_text, most):
         shared = spark.sparkContext.broadcast(Patterns(block, stretch))
@@ -166,7 +168,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
                 for k, found in zip(b.column(0).to_pylist(), p.covered(b.column(1).to_pylist(), share)):
                     for item, part in found:
                         keys.append(k), items_.append(p.ids[item]), shares.append(part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(items_, pa.int64() if ik in ("bigint", "int") else pa.string()), pa.array(shares, pa.float64())], names=[doc_key, item_key, "share"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(items_, arrow), pa.array(shares, pa.float64())], names=[doc_key, item_key, "share"])
 
         part = docs.select(doc_key, F.col(doc_text).alias("_t")).where(F.col("_t").isNotNull()).mapInArrow(search, schema)
         done = part if done is None else done.unionByName(part)

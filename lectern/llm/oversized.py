@@ -57,18 +57,19 @@ def pieces(content: str, table: bool, max_words: int = MAX_WORDS, max_chars: int
     starts = np.array([s for s, _ in spans], dtype=int)
     stops = np.array([e for _, e in spans], dtype=int)
     gaps = np.concatenate([(starts[1:] > stops[:-1]).astype(int), [1]]) if n else np.zeros(0, int)
-    # the words i..j-1 and the spaces between them have sums[j] - sums[i] - 1 characters
+    # the words i..j-1 and the spaces between them have upto[j] - sums[i] characters
     sums = np.concatenate([[0], np.cumsum(stops - starts + gaps)])
+    upto = sums - np.concatenate([[0], gaps])
     paragraphs = [m.end() for m in _BLANK.finditer(text)]
     unit_ends = np.unique(np.concatenate([np.searchsorted(starts, ends), [n]]).astype(int))
     bounds = np.unique(np.concatenate([unit_ends, np.searchsorted(starts, paragraphs).astype(int)]))
     bounds = bounds[bounds > 0]
     first = np.concatenate([[0], bounds[:-1]]).astype(int)
-    forced = bool(np.any((bounds - first > max_words) | (sums[bounds] - sums[first] - 1 > max_chars)))
+    forced = bool(np.any((bounds - first > max_words) | (upto[bounds] - sums[first] > max_chars)))
     breaks = np.searchsorted(starts, paragraphs)
     out, at, done = [], 0, 0
     while at < n:
-        most = min(n, at + max_words, int(np.searchsorted(sums, sums[at] + max_chars + 1, "right")) - 1)
+        most = min(n, at + max_words, int(np.searchsorted(upto, sums[at] + max_chars, "right")) - 1)
         most = max(most, at + 1, done + 1)
         k = int(np.searchsorted(bounds, most, "right")) - 1
         end = int(bounds[k]) if k >= 0 and bounds[k] > done else most
@@ -81,7 +82,7 @@ def pieces(content: str, table: bool, max_words: int = MAX_WORDS, max_chars: int
         near = bounds[lo:hi]
         at, done = int(near[np.argmin(np.abs(near - back))]) if len(near) else back, end
         # the words repeated must leave room for at least one more
-        while at < done and (done + 1 - at > max_words or sums[done + 1] - sums[at] - 1 > max_chars):
+        while at < done and (done + 1 - at > max_words or upto[done + 1] - sums[at] > max_chars):
             at += 1
     return forced, out
 

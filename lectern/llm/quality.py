@@ -19,6 +19,8 @@ SAMPLE = 4000
 KINDS = ("prose", "list", "table", "junk")
 #: Share of a text that isn't running sentences beyond which its weak label isn't prose.
 SHARE = 0.75
+#: Words among which repeated ones are counted.
+WINDOW = 250
 
 STATISTICS = ("n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "end_mark_share", "short_line_share", "mean_line_length", "words_per_mark", "unique_share", "top_pair_share", "noisy_share", "long_word_share", "prose_share", "list_share", "table_share", "code_share", "bare_share")
 
@@ -145,8 +147,9 @@ def statistics(text: str, common: Common) -> list[float]:
     symbols, digits = _counts(text)
     plain = text.isascii()
     marks = sum(map(text.count, _ASCII_STOPS if plain else _STOPS)) + (text[-1] in ".!?…")
-    unique = len(set(words))
+    # different words in runs of up to WINDOW words: over a whole long text their share falls with its length
     w = len(words)
+    unique = sum(len(set(words[i : i + WINDOW])) for i in range(0, w, WINDOW))
     # a pair can't be frequent where most words occur once
     pair = max(Counter(zip(words, words[1:])).values(), default=0) if unique < 0.5 * w else 1
     noisy = len(_NOISY.findall(text)) if not plain or "|" in text else 0
