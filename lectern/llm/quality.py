@@ -24,6 +24,9 @@ WINDOW = 250
 
 STATISTICS = ("n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "end_mark_share", "short_line_share", "mean_line_length", "words_per_mark", "unique_share", "top_pair_share", "noisy_share", "long_word_share", "prose_share", "list_share", "table_share", "code_share", "bare_share")
 
+#: What the classifier sees: not the sizes, as a kind doesn't depend on a text's length.
+FEATURES = [i for i, c in enumerate(STATISTICS) if c not in ("n_chars", "n_words", "n_lines", "mean_line_length")]
+
 _END = re.compile(r"[.!?…。！？।؟][\"”’»“)）」\]]*(?:\[\d+\])?\s*\Z")
 _MARK = re.compile(r"[.!?…।؟](?=[\s\"”’»“)\[]|\Z)|[。！？]")
 #: Combining marks that stand inside words.
@@ -186,8 +189,8 @@ def train(texts: list[str], common: Common) -> Boosted:
             x.append(s)
             y.append(KINDS.index(label))
     # the holdout isn't trained on
-    model = Boosted(len(KINDS)).fit(np.array(x).reshape(-1, len(STATISTICS)), np.array(y, int))
-    hold = np.array([statistics(t, common) for t, _ in HOLDOUT])
+    model = Boosted(len(KINDS)).fit(np.array(x).reshape(-1, len(STATISTICS))[:, FEATURES], np.array(y, int))
+    hold = np.array([statistics(t, common) for t, _ in HOLDOUT])[:, FEATURES]
     return model.calibrate(hold, np.array([KINDS.index(k) for _, k in HOLDOUT]))
 
 
@@ -221,7 +224,7 @@ def quality_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc
             texts = b.column(1).to_pylist()
             rows = np.array([statistics(x or "", common) for x in texts]).reshape(-1, len(STATISTICS))
             real = rows[:, STATISTICS.index("n_lines")] > 0
-            p = model.probabilities(rows) if model is not None else np.full((len(rows), len(KINDS)), 0.25)
+            p = model.probabilities(rows[:, FEATURES]) if model is not None else np.full((len(rows), len(KINDS)), 0.25)
             best = p.argmax(1)
             null = np.array([x is None for x in texts], bool)
             cols = [pa.array(rows[:, i], mask=null) for i in range(len(STATISTICS))]

@@ -413,7 +413,7 @@ def test_holdout_accuracy():
     texts = [t for s in range(80) for _, t in _texts(s)]
     m = quality.train(texts, c)
     hold = np.array([quality.statistics(t, c) for t, _ in quality.HOLDOUT])
-    got = [quality.KINDS[i] for i in m.probabilities(hold).argmax(1)]
+    got = [quality.KINDS[i] for i in m.probabilities(hold[:, quality.FEATURES]).argmax(1)]
     assert np.mean([g == k for g, (_, k) in zip(got, quality.HOLDOUT)]) > 0.7
 
 
