@@ -98,11 +98,33 @@ _TERMS = " union all ".join(
     for f in ("content", "contextual_content")
 )
 _MARK = "case when passages < 3 then 'rare' when passages > 0.25 * n then 'common' end"
-_SPACES = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_WORDS = "regexp_extract_all(lower(nfc_normalize({0})), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+#: Sets of words of titles and of runs of three words of text passages, and the pairs of keys with enough in common.
+_SETS = f"""title as (select clean_id k, list_distinct({_WORDS.format('title')}) s from (select distinct clean_id, title from papers where clean_id is not null and title is not null)),
+    txt as (select passage_id k, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s
+        from (select passage_id, {_WORDS.format('content')} w from (select distinct passage_id, content from passages where type = 'text' and content is not null and passage_id is not null)
+              where len(list_filter(regexp_split_to_array(content, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')) >= 40)),
+    sets as (select 'title' f, k, row_number() over () r, s, len(s) n, 0.6 least from title where len(s) >= 4 union all select 'content', k, row_number() over (), s, len(s), 0.5 from txt where len(s) > 0),
+    flat as (select f, k, r, n, least, unnest(s) x from sets)"""
+_PAIRS = f"""with {_SETS} select distinct f field, least(a, b) key_a, greatest(a, b) key_b from (
+    select p.f, p.k a, q.k b, p.n + q.n - count(*) u, count(*) c, any_value(p.least) least from flat p join flat q on p.f = q.f and p.x = q.x and p.r < q.r and p.k <> q.k group by p.f, p.k, q.k, p.r, q.r, p.n, q.n) where c >= least * u"""
+_GOOD = """(select distinct on (vec_id) vec_id, embedding::double[] e from passage_vectors where vec_id is not null and len(embedding) = 96 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and list_max(embedding) - list_min(embedding) + abs(embedding[1]) > 0)"""
+_NEAR = f"""select distinct least(a, b) vec_a, greatest(a, b) vec_b from (select a, b, c, row_number() over (partition by a order by c desc, b) r from (
+    select p.vec_id a, q.vec_id b, list_cosine_similarity(p.e, q.e) c from {_GOOD} p, {_GOOD} q where p.vec_id <> q.vec_id)) where r <= 5 and c >= 0.85"""
+_SPLIT = "regexp_extract_all(regexp_replace(lower(text), '([\\p{Han}\\p{Hiragana}\\p{Katakana}])', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+')"
+_EIGHT = "list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))"
+_LEAKS = f"""with i as (select item_id, w, {_EIGHT} g from (select item_id, {_SPLIT} w from eval_items where text is not null)),
+    ig as (select item_id, len(w) n, unnest(g) g, unnest(range(1, len(g) + 1)) p from i),
+    d as (select distinct doc_id, unnest({_EIGHT}) g from (select doc_id, {_SPLIT} w from documents where text is not null)),
+    hit as (select distinct doc_id, item_id, n, unnest(range(p, p + 8)) place from d join ig using (g))
+    select doc_id, item_id from hit group by doc_id, item_id, n having count(*) >= 0.5 * n"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _PAIRS,
         "p3_terms": f"select field, term, occurrences, passages, {_MARK} mark from ({_TERMS})",
         "p3_found": f"select field, term, {_MARK} mark from ({_TERMS}) where {_MARK} is not null",
+        "p4_found": _NEAR,
+        "p7_found": _LEAKS,
     }
