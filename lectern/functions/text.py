@@ -114,6 +114,16 @@ def ngrams(items: Column, n: int = 8) -> Column:
     return bound(items, runs)
 
 
+def ngram_hashes(items: Column, n: int = 8) -> Column:
+    """Hashes of all runs of ``n`` consecutive items."""
+
+    def runs(w: Column) -> Column:
+        places = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(F.slice(w, i, n)))
+
+    return bound(items, runs)
+
+
 def plain_title(title: Column) -> Column:
     """A title in lower case without punctuation, for the search of repeated ones."""
     return collapse_space(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_\s]", ""))

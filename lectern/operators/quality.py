@@ -66,14 +66,14 @@ def table_outliers(papers: DataFrame, least: int = 20, factor: float = 2.5) -> D
 
 
 def section_words(papers: DataFrame) -> DataFrame:
-    """``(arxiv_id, section_id, b, grams)``: 8-grams of the text blocks, in lower case."""
+    """``(arxiv_id, section_id, b, grams)``: hashes of the 8-grams of the text blocks, in lower case."""
     b = blocks(papers).where("type = 'text' and content is not null and section_id is not null")
-    return b.select("arxiv_id", "section_id", "s", "b", T.ngrams(T.words(F.lower("content"))).alias("grams"))
+    return b.select("arxiv_id", "section_id", "s", "b", T.ngram_hashes(T.words(F.lower("content"))).alias("grams"))
 
 
 def passage_grams(passages: DataFrame) -> DataFrame:
     p = passages.where("type = 'text' and content is not null and section_id is not null")
-    return p.select("passage_id", "arxiv_id", "section_id", T.ngrams(T.words(F.lower("content"))).alias("grams"))
+    return p.select("passage_id", "arxiv_id", "section_id", T.ngram_hashes(T.words(F.lower("content"))).alias("grams"))
 
 
 def gram_coverage(papers: DataFrame, passages: DataFrame) -> DataFrame:
@@ -82,16 +82,16 @@ def gram_coverage(papers: DataFrame, passages: DataFrame) -> DataFrame:
     Grams count with their multiplicity, each block against the whole section.
     Grams travel as hashes. Null if there are none.
     """
-    src = section_words(papers).select("arxiv_id", "section_id", "s", "b", F.explode("grams").alias("g")).groupBy("arxiv_id", "section_id", "s", "b", F.xxhash64("g").alias("h")).agg(F.count("*").alias("c"))
-    got = passage_grams(passages).select("arxiv_id", "section_id", F.explode("grams").alias("g")).groupBy("arxiv_id", "section_id", F.xxhash64("g").alias("h")).agg(F.count("*").alias("d"))
+    src = section_words(papers).select("arxiv_id", "section_id", "s", "b", F.explode("grams").alias("h")).groupBy("arxiv_id", "section_id", "s", "b", "h").agg(F.count("*").alias("c"))
+    got = passage_grams(passages).select("arxiv_id", "section_id", F.explode("grams").alias("h")).groupBy("arxiv_id", "section_id", "h").agg(F.count("*").alias("d"))
     j = src.join(got, ["arxiv_id", "section_id", "h"], "left")
     return j.agg(F.sum("c").alias("source"), F.sum(F.least("c", F.coalesce("d", F.lit(0)))).alias("covered")).withColumn("percent", F.bround(F.try_divide(F.col("covered") * 100.0, "source"), 4))
 
 
 def gram_leaks(papers: DataFrame, passages: DataFrame) -> DataFrame:
     """``(passage_id, leaks)``: distinct 8-grams of a passage that its own section lacks and another section of its paper has."""
-    src = section_words(papers).select("arxiv_id", "section_id", F.explode("grams").alias("g")).select("arxiv_id", "section_id", F.xxhash64("g").alias("h")).distinct()
-    own = passage_grams(passages).select("passage_id", "arxiv_id", "section_id", F.explode("grams").alias("g")).select("passage_id", "arxiv_id", "section_id", F.xxhash64("g").alias("h")).distinct()
+    src = section_words(papers).select("arxiv_id", "section_id", F.explode("grams").alias("h")).distinct()
+    own = passage_grams(passages).select("passage_id", "arxiv_id", "section_id", F.explode("grams").alias("h")).distinct()
     foreign = own.join(src, ["arxiv_id", "section_id", "h"], "left_anti")
     other = src.select("arxiv_id", "h").distinct()
     return foreign.join(other, ["arxiv_id", "h"], "left_semi").groupBy("passage_id").agg(F.count("*").alias("leaks"))

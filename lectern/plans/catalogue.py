@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import bm25, chunking, dense, evaluation, integrity, quality, sampling
 from ..operators.distinct import distinct_by
 from ..sources import readers, sinks
+from ..sources.tables import table
 from ..streaming import incremental
 from . import oracle
 
@@ -31,18 +32,14 @@ def query(f: Query) -> Query:
     return f
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def passages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Passages, each once."""
-    p = table(spark, d, "passages")
+    p = table(spark, d, "passages", heavy=True)
     return distinct_by(p.select("passage_id", *columns) if columns else p, "passage_id")
 
 
 def parsed(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_by(table(spark, d, "parsed_papers"), "arxiv_id")
+    return distinct_by(table(spark, d, "parsed_papers", heavy=True), "arxiv_id")
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +67,7 @@ def clean_latex_strict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str, config: T.TokenizerConfig) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.tokens(F.col("text"), config), " ").alias("tokens"))
+    return table(spark, d, "documents", heavy=True).select("doc_id", F.array_join(T.tokens(F.col("text"), config), " ").alias("tokens"))
 
 
 @query
@@ -100,7 +97,7 @@ def split_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ngram8(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(T.ngrams(T.words(F.lower("text")))).alias("gram")).groupBy("doc_id").agg(F.count("*").alias("grams"), F.countDistinct("gram").alias("different"))
+    return table(spark, d, "documents", heavy=True).select("doc_id", F.explode(T.ngrams(T.words(F.lower("text")))).alias("gram")).groupBy("doc_id").agg(F.count("*").alias("grams"), F.countDistinct("gram").alias("different"))
 
 
 @query
@@ -225,7 +222,7 @@ def section_path(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pack_units(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.pack_plain(table(spark, d, "documents"), "doc_id", "text")
+    return chunking.pack_plain(table(spark, d, "documents", heavy=True), "doc_id", "text")
 
 
 @query
@@ -303,7 +300,7 @@ def empty_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def residual_tags(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.residual_tags(F.col("text")), ",").alias("tags")).where("tags <> ''")
+    return table(spark, d, "documents", heavy=True).select("doc_id", F.array_join(T.residual_tags(F.col("text")), ",").alias("tags")).where("tags <> ''")
 
 
 @query
@@ -424,7 +421,7 @@ def processed_months(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def text_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    return integrity.text_fingerprints(table(spark, d, "documents"), "doc_id", "text")
+    return integrity.text_fingerprints(table(spark, d, "documents", heavy=True), "doc_id", "text")
 
 
 @query

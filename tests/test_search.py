@@ -51,6 +51,17 @@ def test_search_edges(spark, passages):
     assert empty.count() == 0
 
 
+def test_joins_give_the_same(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(1)
+    p = spark.createDataFrame([(f"p{i:03d}", "text", 9, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 30))), None) for i in range(300)], PASSAGE)
+    i, q = bm25.indexed_text(p), asks(spark, "a b", "c c d", "h", "zz")
+    blocks = bm25.search(i, q, 7).collect()
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 0)
+    assert sorted(blocks) == sorted(bm25.search(i, q, 7).collect()) and len(blocks) == 21
+
+
 def test_saved_index_and_gates(spark, passages, tmp_path):
     path = str(tmp_path / "bm25")
     integrity.save_bm25(passages, path)
