@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import table
 from . import forest, leakage, neighbours, oversized, quality, sentences, termfreq, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_HEAVY = ("documents", "papers", "parsed_papers", "passages", "passage_vectors")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return table(spark, sf_dir, name, heavy=name in _HEAVY)
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> forest.Found:
