@@ -1,11 +1,14 @@
 """Cutting lineage with tables written to the folder that all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``. Only where that setting is
-absent (tests, single-machine use) a folder of its own is made, once per session.
+absent (tests, single-machine use) a folder of its own is made, once per session,
+and removed when the process ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,13 +18,15 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, without a trailing slash."""
+    """The session's own part of the shared folder, without a trailing slash."""
+    app = spark.sparkContext.applicationId
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{given.rstrip('/')}/lectern-{app}"
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        own = tempfile.mkdtemp(prefix="lectern-")
+        atexit.register(shutil.rmtree, own, True)
+        _OWN[app] = "file://" + own
     return _OWN[app]
 
 
@@ -35,3 +40,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that the session wrote; frames that read them can't be used after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
