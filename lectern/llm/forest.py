@@ -2,9 +2,10 @@
 
 Every record is the set of its words or runs of words. Its signature, minima of
 random hash functions, is read in several orders, one for each tree of the forest.
-In the sorted order of a tree, records with a long common prefix are candidates:
-the depth of the prefix grows, region by region, until few records share it.
-Candidates are checked on their signatures, then on the sets themselves.
+Records with a common prefix in a tree are candidates. Where few records share the
+prefix, all their pairs are joined with the signatures; where many do, the group
+is cut into blocks and each pair of blocks is compared by one task. Candidates are
+checked on their signatures, then on the sets themselves.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from ..operators.distinct import distinct_by
 from ..sharedfs import written
 from .termfreq import terms
 
-#: Trees, values of the signature that are a tree's own, values in a tree's order (it goes on with the next tree's), and the least depth.
-TREES, OWN, DEPTH, LEAST = 24, 4, 6, 2
-#: Records that share a prefix before it is made longer.
-LEAF = 24
-#: A prefix shared by so many records, and by this share of all, gets a place in the shuffle for each longer prefix.
+#: Trees, values of the signature that are a tree's own, and values in a prefix.
+TREES, OWN, LEAST = 24, 4, 2
+#: Records that share a prefix before they are compared in blocks, and records in a block.
+LEAF, BLOCK = 24, 4_000
+#: The records of a prefix shared by so many, and by this share of all, are spread over the shuffle.
 HOT, HOT_SHARE = 20_000, 1e-3
 #: Deviations of the signatures' estimate below the least similarity that are let pass to the exact check.
 SLACK = 4.0
@@ -170,8 +171,89 @@ def _matrix(column: pa.Array, m: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, m)
 
 
-def candidates(sets: DataFrame, n: int, trees: int = TREES, own: int = OWN, depth: int = DEPTH, least: int = LEAST, leaf: int = LEAF, hot: int = HOT) -> DataFrame:
-    """``(a, b)``, ``a`` < ``b``: candidates among the ``n`` records ``(h, sig)``, of which each is in every tree."""
+def _limit(m: int, similar: float, slack: float = SLACK) -> float:
+    """Equal bytes of two signatures of ``m`` values below which a similarity of ``similar`` is out of the question."""
+    # of each value a byte will do: others agree in one of 256
+    agree = similar + (1 - similar) / 256
+    return m * agree - slack * (m * agree * (1 - agree)) ** 0.5
+
+
+def _short(sets: DataFrame, m: int) -> DataFrame:
+    """``(h, s)``: a byte of each value of the signatures."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = (_matrix(b.column("sig"), m) & 0xFF).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "s"])
+
+    return sets.select("h", "sig").mapInArrow(short, "h bigint, s binary")
+
+
+def block_pairs(ids: np.ndarray, sigs: np.ndarray, other_ids: np.ndarray, other_sigs: np.ndarray, limit: float, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of two blocks, or of one with itself, whose short signatures have at least ``limit`` equal values."""
+    columns, n = np.ascontiguousarray(other_sigs.T), len(other_ids)
+    # some rows at a time, so that a step is long enough and its numbers stay in the cache
+    for i in range(0, len(ids), 8):
+        rows = sigs[i : i + 8]
+        at = i + 1 if within else 0
+        same, equal = np.zeros((len(rows), n - at), np.uint8), np.empty((len(rows), n - at), bool)
+        for c, v in zip(columns, rows.T):
+            np.equal(c[None, at:], v[:, None], out=equal)
+            same += equal.view(np.uint8)
+        r, o = np.nonzero(same >= limit)
+        if within:
+            later = o + at > r + i
+            r, o = r[later], o[later]
+        if len(r):
+            x, y = ids[i + r], other_ids[at + o]
+            yield np.minimum(x, y), np.maximum(x, y)
+
+
+def _large(members: DataFrame, sets: DataFrame, m: int, limit: float, block: int) -> DataFrame:
+    """``(a, b)``: the pairs within large groups ``(route, h, c)`` of ``c`` members that pass the signatures, by pairs of blocks."""
+    rows = members.agg(F.sum(F.ceil(F.col("c") / block))).first()[0] or 0
+    parts = max(12, min(20_000, rows // 20_000))
+    own = members.join(_short(sets, m), "h").withColumn("k", F.ceil(F.col("c") / block).cast("int"))
+    own = own.withColumn("own", F.pmod(F.xxhash64("h"), F.col("k")).cast("int"))
+    spread = own.select("route", "h", "s", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("with"))
+    spread = spread.select("route", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "h", "s")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [b for b in batches if b.num_rows]
+        if not tables:
+            return
+        t = pa.Table.from_batches(tables).combine_chunks()
+        route, lo, hi, own, h = (t.column(c).to_numpy() for c in ("route", "lo", "hi", "own", "h"))
+        sigs = np.frombuffer(b"".join(t.column("s").to_pylist()), np.uint8).reshape(-1, m)
+        order = np.lexsort([own, hi, lo, route])
+        route, lo, hi, own, h, sigs = route[order], lo[order], hi[order], own[order], h[order], sigs[order]
+        new = (route[1:] != route[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        ends = np.concatenate([[0], np.flatnonzero(new) + 1, [len(h)]])
+        for i, j in zip(ends[:-1], ends[1:]):
+            within = lo[i] == hi[i]
+            cut = i if within else i + int(np.searchsorted(own[i:j], hi[i]))
+            first = slice(i, j) if within else slice(i, cut)
+            a, b, n = [], [], 0
+            for x, y in block_pairs(h[first], sigs[first], h[cut:j], sigs[cut:j], limit, within):
+                a.append(x), b.append(y)
+                n += len(x)
+                if n >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    a, b, n = [], [], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return spread.repartition(parts, "route", "lo", "hi").mapInArrow(compare, "a bigint, b bigint")
+
+
+def candidates(sets: DataFrame, n: int, trees: int = TREES, own: int = OWN, least: int = LEAST, leaf: int = LEAF, hot: int = HOT, block: int = BLOCK, similar: float = 0.0) -> DataFrame:
+    """``(a, b)``, ``a`` < ``b``: candidates among the ``n`` records ``(h, sig)``, of which each is in every tree.
+
+    All pairs of records with a common prefix of ``least`` values in a tree are
+    candidates, however many share it; their signatures mustn't speak against a
+    similarity of ``similar``.
+    """
     m = trees * own
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,39 +262,32 @@ def candidates(sets: DataFrame, n: int, trees: int = TREES, own: int = OWN, dept
         if not rows:
             return
         for t in range(trees):
-            p = np.concatenate([_prefixes(s, t, trees, own, depth) for s in sig], axis=1)
-            for d in range(least - 1, depth - 1):
-                k, c = np.unique(p[d], return_counts=True)
-                often = c >= max(16, rows * HOT_SHARE / 2)
-                yield pa.RecordBatch.from_arrays([pa.array(k[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["p", "c"])
+            k, c = np.unique(np.concatenate([_prefixes(s, t, trees, own, least)[-1] for s in sig]), return_counts=True)
+            often = c >= max(16, rows * HOT_SHARE / 2) if hot > 16 else c > 0
+            yield pa.RecordBatch.from_arrays([pa.array(k[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["p", "c"])
 
-    often = np.empty(0, np.uint64)
+    often, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     if n > hot:
-        # what a large share of all records have is frequent in the tasks too; at most 2 / HOT_SHARE prefixes a tree and depth
-        rows = sets.mapInArrow(common, "p bigint, c bigint").groupBy("p").agg(F.sum("c").alias("c")).where(F.col("c") >= max(hot, n * HOT_SHARE)).select("p").collect()
-        often = np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
-    shared = sets.sparkSession.sparkContext.broadcast(often)
+        # what a large share of all records have is frequent in the tasks too; at most 2 / HOT_SHARE prefixes a tree
+        rows = sets.mapInArrow(common, "p bigint, c bigint").groupBy("p").agg(F.sum("c").alias("c")).where(F.col("c") >= max(hot + 1, n * HOT_SHARE)).orderBy("p").collect()
+        often, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast((often, counts))
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        often, counts = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
             sig = _matrix(b.column("sig"), m)
             for t in range(trees):
-                p = _prefixes(sig, t, trees, own, depth)
-                route, start = p[least - 1].copy(), np.zeros(len(sig), np.int8)
-                for d in range(least, depth):
-                    if not len(often):
-                        break
-                    at = np.searchsorted(often, route)
-                    deeper = (start == d - least) & (at < len(often)) & (often[np.minimum(at, len(often) - 1)] == route)
-                    route[deeper], start[deeper] = p[d][deeper], d - least + 1
-                cols = [(t * own + j) % m for j in range(least, depth)]
-                tail = np.ascontiguousarray(sig[:, cols]).view(f"V{4 * len(cols)}").ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), b.column("h"), pa.array(start), pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * len(cols)), len(tail), [None, pa.py_buffer(tail.tobytes())]).cast(pa.binary())], names=["route", "h", "start", "tail"])
-
-    rows = sets.select("h", "sig").mapInArrow(plant, "route bigint, h bigint, start tinyint, tail binary")
+                route = _prefixes(sig, t, trees, own, least)[-1].view(np.int64)
+                c = np.zeros(len(sig), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, route), len(often) - 1)
+                    c = np.where(often[at] == route, counts[at], 0)
+                yield pa.RecordBatch.from_arrays([pa.array(route), b.column("h"), pa.array(c)], names=["route", "h", "c"])
+
+    rows = sets.select("h", "sig").mapInArrow(plant, "route bigint, h bigint, c bigint")
     parts = max(12, min(20_000, n * trees // 250_000))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,35 +295,33 @@ def candidates(sets: DataFrame, n: int, trees: int = TREES, own: int = OWN, dept
         if not own_:
             return
         t = pa.Table.from_batches(own_).combine_chunks()
-        width = depth - least
-        route = t.column("route").to_numpy()
-        tails = np.frombuffer(b"".join(t.column("tail").to_pylist()), np.uint32).reshape(-1, width)
+        route, h, c = (t.column(x).to_numpy() for x in ("route", "h", "c"))
+        here = np.flatnonzero(c == 0)
         # most prefixes are nobody else's
-        _, inverse, count = np.unique(route, return_inverse=True, return_counts=True)
-        shared_ = count[inverse] > 1
-        a, b = leaf_pairs(route[shared_], tails[shared_], t.column("start").to_numpy()[shared_].astype(np.int64), t.column("h").to_numpy()[shared_], leaf)
-        if len(a):
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
-            for i in range(0, len(pairs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 100_000, 0].copy()), pa.array(pairs[i : i + 100_000, 1].copy())], names=["a", "b"])
-
-    return rows.repartition(parts, "route").mapInArrow(compare, "a bigint, b bigint").distinct()
+        _, inverse, count = np.unique(route[here], return_inverse=True, return_counts=True)
+        size = c.copy()
+        size[here] = count[inverse]
+        many = (size > leaf) | (c > 0)
+        few = ~many & (size > 1)
+        a, b = leaf_pairs(route[few], np.empty((few.sum(), 0), np.uint32), np.zeros(few.sum(), np.int64), h[few], leaf)
+        pairs = np.unique(np.stack([a, b], 1), axis=0)
+        x, y, z = np.concatenate([pairs[:, 0], route[many]]), np.concatenate([pairs[:, 1], h[many]]), np.concatenate([np.zeros(len(pairs), np.int64), size[many]])
+        for i in range(0, len(x), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 100_000]) for v in (x, y, z)], names=["a", "b", "c"])
+
+    # pairs of small groups, and the members of large ones with the number of these
+    spread = F.when(F.col("c") > 0, F.col("h")).otherwise(F.col("route"))
+    both = written(rows.repartition(parts, spread).mapInArrow(compare, "a bigint, b bigint, c bigint"), "leaves")
+    small = estimated(both.where("c = 0").select("a", "b").distinct(), sets, similar, trees, own)
+    members = both.where("c > 0").select(F.col("a").alias("route"), F.col("b").alias("h"), "c")
+    return small.unionByName(_large(members, sets, m, _limit(m, similar), block)).distinct()
 
 
 def estimated(pairs: DataFrame, sets: DataFrame, least: float, trees: int = TREES, own: int = OWN, slack: float = SLACK) -> DataFrame:
     """The candidates whose signatures don't speak against a similarity of ``least``."""
     m = trees * own
-    # of each value a byte will do: others agree in one of 256
-    agree = least + (1 - least) / 256
-    limit = m * agree - slack * (m * agree * (1 - agree)) ** 0.5
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = (_matrix(b.column("sig"), m) & 0xFF).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "s"])
-
-    s = sets.select("h", "sig").mapInArrow(short, "h bigint, s binary")
+    limit = _limit(m, least, slack)
+    s = _short(sets, m)
     both = pairs.join(s.withColumnsRenamed({"h": "a", "s": "sa"}), "a").join(s.withColumnsRenamed({"h": "b", "s": "sb"}), "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +365,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, run: int, least: float,
     members = signed.select("key", "h").distinct()
     sets = distinct_by(signed.select("h", "sig"), "h")
     n = signed.count()
-    close = written(estimated(candidates(sets, n, trees, leaf=leaf), sets, least, trees), "close")
+    close = written(candidates(sets, n, trees, leaf=leaf, similar=least), "close")
     # one record of each class of which the set is needed
     needed = close.select(F.col("a").alias("k")).union(close.select(F.col("b").alias("k"))).distinct()
     one = written(_only(signed.select("key", "h"), "h", needed).groupBy("h").agg(F.min("key").alias("key")), "needed")

@@ -74,6 +74,17 @@ def test_candidates_of_frequent_prefixes(spark, texts):
     assert deep <= {tuple(r) for r in forest.candidates(sets, n).collect()}
 
 
+@pytest.mark.parametrize("hot, block", [(forest.HOT, forest.BLOCK), (20, 30)])
+def test_families_of_more_than_a_leaf(spark, hot, block):
+    # 100 texts of which each two have about half of their words in common: all above the limit are found
+    rnd = random.Random(3)
+    rows = [(f"k{i:03d}", " ".join([f"base{j}" for j in range(80)] + [f"own{i}x{j}" for j in range(rnd.randint(38, 42))])) for i in range(100)]
+    sets = distinct_by(forest.signatures(spark.createDataFrame(rows, "key string, text string"), "key", "text", 1, 1, 0).select("h", "sig"), "h")
+    got = forest.candidates(sets, 100, similar=0.5, hot=hot, block=block)
+    assert got.count() == got.distinct().count() and got.count() > 0.99 * 100 * 99 / 2
+    assert got.where("a >= b").count() == 0
+
+
 def test_groups_and_large_classes(spark, texts):
     df = spark.createDataFrame(texts, "key string, text string")
     found = forest.near_duplicates(df, "key", "text", run=3, least=0.5, least_words=3)
