@@ -32,7 +32,7 @@ HOT, HOT_SHARE = 20_000, 1e-3
 SLACK = 4.0
 #: Keys that are broadcast at most, of up to 64 characters.
 BROADCAST_KEYS = 100_000
-#: Members of a class of equal records up to which all their pairs are written; of larger ones the pairs with the least key.
+#: Members of a class of equal records that are paired in one place; larger classes are cut into parts of about so many.
 CLASS = 1_000
 
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -394,25 +394,36 @@ def near_duplicates(df: DataFrame, key: str, text: str, run: int, least: float,
     return Found(members, written(pairs, "pairs"))
 
 
-def record_pairs(found: Found, class_limit: int = CLASS) -> DataFrame:
+def _all_pairs(m: DataFrame, links: DataFrame, part: int) -> DataFrame:
+    """``(x, y)``: all keys of ``a`` with all of ``b`` for the classes ``(a, b)`` of ``links``; large classes are joined by parts."""
+    large = m.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > part).withColumn("k", F.ceil(F.col("c") / part).cast("int")).select("h", "k")
+    # of large classes each key has a part; a pair of classes is written out for each pair of parts
+    keys = m.join(large, "h", "left").select("h", "key", F.when(F.col("k").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("key"), F.col("k"))).cast("int").alias("p"))
+    for c in ("a", "b"):
+        links = links.join(large.withColumnsRenamed({"h": c, "k": f"k{c}"}), c, "left")
+        links = links.withColumn(f"p{c}", F.explode(F.sequence(F.lit(0), F.coalesce(f"k{c}", F.lit(1)) - 1)))
+    left = links.select("a", "b", "pa", "pb").join(keys.withColumnsRenamed({"h": "a", "key": "x", "p": "pa"}), ["a", "pa"])
+    return left.join(keys.withColumnsRenamed({"h": "b", "key": "y", "p": "pb"}), ["b", "pb"]).select("x", "y")
+
+
+def record_pairs(found: Found, class_limit: int | None = None, part: int = CLASS) -> DataFrame:
     """``(key_a, key_b)``, ``key_a`` < ``key_b``: the similar pairs of records with different keys.
 
-    Within a class of more than ``class_limit`` equal records each is paired with
-    the least key only, and across classes each with the least of a large class;
-    all other pairs are written.
+    All pairs are written, of classes of any size; keys of classes over ``part``
+    are joined part by part. ``groups`` has the classes without their pairs. With
+    a ``class_limit``, each record of a class over it is paired with the least key
+    only, and across classes the least key stands for a class over it.
     """
     m = written(found.members, "members")
-    large = m.groupBy("h").agg(F.count("*").alias("c"), F.min("key").alias("least")).where(F.col("c") > class_limit)
-    few = m.join(large.select("h"), "h", "left_anti")
-    star = m.join(large.select("h", "least"), "h").select("h", "key", "least")
-    a, b = few.alias("a"), few.alias("b")
-    within = a.join(b, F.col("a.h") == F.col("b.h")).select(F.col("a.key").alias("x"), F.col("b.key").alias("y"))
-    within = within.unionByName(star.select(F.col("least").alias("x"), F.col("key").alias("y")))
-    # a large class is represented by its least key
-    ends = few.select("h", "key").unionByName(large.select("h", F.col("least").alias("key")))
-    across = found.pairs.join(ends.withColumnsRenamed({"h": "a", "key": "x"}), "a").join(ends.withColumnsRenamed({"h": "b", "key": "y"}), "b").select("x", "y")
-    rows = within.unionByName(across).where(F.col("x") != F.col("y"))
-    return rows.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
+    star = None
+    if class_limit is not None:
+        large = m.groupBy("h").agg(F.count("*").alias("c"), F.min("key").alias("least")).where(F.col("c") > class_limit)
+        star = m.join(large.select("h", "least"), "h").select(F.col("least").alias("x"), F.col("key").alias("y"))
+        m = m.join(large.select("h"), "h", "left_anti").select("h", "key").unionByName(large.select("h", F.col("least").alias("key")))
+    shared = m.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("a"), F.col("h").alias("b"))
+    rows = _all_pairs(m, shared.unionByName(found.pairs.select("a", "b")), part)
+    rows = rows.unionByName(star) if star is not None else rows
+    return rows.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def groups(found: Found, most: int = 40) -> DataFrame:

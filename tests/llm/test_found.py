@@ -100,6 +100,16 @@ def test_groups_and_large_classes(spark, texts):
     assert ("d0", "same1") in star and ("d0", "same2") in star and ("same1", "same2") not in star
 
 
+def test_classes_of_any_size_have_all_pairs(spark):
+    # one passage of 1,010 keys, in two orders of words that have the same set, and one similar text
+    rows = [(f"k{i:04d}", "one two three four" if i % 2 else "Four, three two one!") for i in range(1010)] + [("near", "one two three four five")]
+    found = forest.near_duplicates(spark.createDataFrame(rows, "key string, text string"), "key", "text", run=1, least=0.6, least_set=4)
+    for part in (forest.CLASS, 300):
+        pairs = forest.record_pairs(found, part=part)
+        assert pairs.count() == 1010 * 1009 // 2 + 1010
+        assert pairs.where("key_b = 'near'").count() == 1010
+
+
 def test_titles_with_several_sets(spark):
     rows = [("a", "Deep Models for Long Text"), ("a", "DEEP models for long text"), ("b", "Deep models for long texts"), ("c", "deep models for long text now"), ("d", "Untitled"), ("e", "Untitled"), ("f", None)]
     found = forest.near_duplicates(spark.createDataFrame(rows, "key string, text string"), "key", "text", run=1, least=0.6, least_set=4)
