@@ -153,8 +153,7 @@ def statistics(text: str, common: Common) -> list[float]:
     # different words in runs of up to WINDOW words: over a whole long text their share falls with its length
     w = len(words)
     unique = sum(len(set(words[i : i + WINDOW])) for i in range(0, w, WINDOW))
-    # a pair can't be frequent where most words occur once
-    pair = max(Counter(zip(words, words[1:])).values(), default=0) if unique < 0.5 * w else 1
+    pair = max(Counter(zip(words, words[1:])).values(), default=0)
     noisy = len(_NOISY.findall(text)) if not plain or "|" in text else 0
     return [
         float(n), float(w), float(len(lines)), sum(map(len, words)) / w if w else 0.0, symbols / max(1, dense), digits / max(1, dense),

@@ -445,6 +445,14 @@ def test_statistics_of_a_text():
     assert s["symbol_ratio"] == pytest.approx(1 / len(re.sub(r"\s", "", "The cat is here.\nNo end")))
 
 
+def test_pairs_are_counted_where_most_words_occur_once():
+    text = " ".join(["again"] * 49 + [a + b for a in "abcdefgh" for b in "klmnopqr"])
+    s = dict(zip(quality.STATISTICS, quality.statistics(text, quality.Common(["the"]))))
+    assert s["unique_share"] > 0.5 and s["top_pair_share"] == pytest.approx(48 / 113)
+    one = dict(zip(quality.STATISTICS, quality.statistics("word", quality.Common(["the"]))))
+    assert one["top_pair_share"] == 0
+
+
 def test_entry_has_every_problem():
     import __spark_entry__
 
