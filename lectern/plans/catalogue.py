@@ -233,7 +233,7 @@ def chunk_papers(spark: SparkSession, d: str) -> DataFrame:
 @query
 def chunk_papers_errors(spark: SparkSession, d: str) -> DataFrame:
     p = parsed(spark, d)
-    return chunking.isolation_errors(chunking.chunk_papers(p).where("section_id <> ''"), p)
+    return chunking.isolation_errors(chunking.chunk_papers(p), p)
 
 
 @query

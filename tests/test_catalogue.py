@@ -41,6 +41,15 @@ def test_against_sql(spark, sql, name):
     assert got == collections.Counter(tuple(norm(x[names.index(c)]) for c in cols) for x in r.fetchall())
 
 
+def test_errors_of_chunked_papers_are_those_without_section_id(spark):
+    from lectern.plans import catalogue
+
+    got = {r["passage_id"]: r["errors"] for r in catalogue.chunk_papers_errors(spark, DATA).collect()}
+    want = {r["passage_id"] for r in catalogue.chunk_papers(spark, DATA).collect() if not r["section_id"]}
+    # neither the section nor a block range in it
+    assert want and got == dict.fromkeys(want, 2)
+
+
 def test_every_sql_has_a_query():
     import __spark_entry__
 
