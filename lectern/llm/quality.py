@@ -154,7 +154,7 @@ def statistics(text: str, common: Common) -> list[float]:
     w = len(words)
     unique = sum(len(set(words[i : i + WINDOW])) for i in range(0, w, WINDOW))
     pair = max(Counter(zip(words, words[1:])).values(), default=0)
-    noisy = len(_NOISY.findall(text)) if not plain or "|" in text else 0
+    noisy = len(_NOISY.findall(text)) if not plain or digits or "|" in text else 0
     return [
         float(n), float(w), float(len(lines)), sum(map(len, words)) / w if w else 0.0, symbols / max(1, dense), digits / max(1, dense),
         weight / w if w else 0.0, ends / len(lines), short / len(lines), sum(map(len, lines)) / len(lines), w / (marks + 1), unique / w if w else 0.0,

@@ -453,6 +453,11 @@ def test_pairs_are_counted_where_most_words_occur_once():
     assert one["top_pair_share"] == 0
 
 
+def test_digits_inside_words_are_noise_in_ascii():
+    s = dict(zip(quality.STATISTICS, quality.statistics("The m0del reads a w0rd twice.", quality.Common(["the"]))))
+    assert s["noisy_share"] == pytest.approx(2 / 6)
+
+
 def test_entry_has_every_problem():
     import __spark_entry__
 
