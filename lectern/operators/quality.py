@@ -80,7 +80,8 @@ def gram_coverage(papers: DataFrame, passages: DataFrame) -> DataFrame:
     """One row: 8-grams of the source blocks, those found in the passages of their section, and the percentage.
 
     Grams count with their multiplicity, each block against the whole section.
-    Grams travel as hashes. Null if there are none.
+    Grams travel as hashes. Null if there are none. Blocks and passages with a null
+    ``section_id`` are left out, so that the percentage isn't over all source text.
     """
     src = section_words(papers).select("arxiv_id", "section_id", "s", "b", F.explode("grams").alias("h")).groupBy("arxiv_id", "section_id", "s", "b", "h").agg(F.count("*").alias("c"))
     got = passage_grams(passages).select("arxiv_id", "section_id", F.explode("grams").alias("h")).groupBy("arxiv_id", "section_id", "h").agg(F.count("*").alias("d"))
@@ -89,7 +90,10 @@ def gram_coverage(papers: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def gram_leaks(papers: DataFrame, passages: DataFrame) -> DataFrame:
-    """``(passage_id, leaks)``: distinct 8-grams of a passage that its own section lacks and another section of its paper has."""
+    """``(passage_id, leaks)``: distinct 8-grams of a passage that its own section lacks and another section of its paper has.
+
+    Blocks and passages with a null ``section_id`` are left out.
+    """
     src = section_words(papers).select("arxiv_id", "section_id", F.explode("grams").alias("h")).distinct()
     own = passage_grams(passages).select("passage_id", "arxiv_id", "section_id", F.explode("grams").alias("h")).distinct()
     foreign = own.join(src, ["arxiv_id", "section_id", "h"], "left_anti")
