@@ -74,6 +74,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def p6_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by chunks so small that most texts are several stretches."""
+    return tokenizer.encode_corpus(_table(spark, sf_dir, "documents"), chunk=50, overlap=20, chunks=4)
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
@@ -91,7 +96,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_nearest, p5_found, p6_ids, p7_found, p7_shares, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_terms, p4_found, p4_nearest, p5_found, p6_ids, p6_chunked, p7_found, p7_shares, p8_found, p8_statistics)}
 
 
 _TERMS = " union all ".join(

@@ -1,4 +1,11 @@
-"""Encoding of a whole corpus with a public byte-level BPE tokenizer."""
+"""Encoding of a whole corpus with a public byte-level BPE tokenizer, by overlapping chunks.
+
+Every text is cut into chunks. Where a chunk ends, the next characters belong to
+both chunks, and the cut is moved to the first place in them at which two scans for
+pre-tokens are in step wherever they began: the pre-tokens left and right of it don't
+depend on each other. The pieces between such cuts are encoded on their own. Where
+the overlap has no such place, the chunks stay joined.
+"""
 
 from __future__ import annotations
 
@@ -10,16 +17,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from .chunked import chunk_rows
 
 #: Fixed value: the pre-tokenisation pattern of the tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Largest vocabulary file that is broadcast.
 VOCAB_LIMIT = 64 << 20
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+#: Characters of a chunk and of its overlap with the next one; chunks of one text that a task works on before others take over.
+CHUNK, OVERLAP, CHUNKS = 1 << 10, 1 << 8, 64
+
+#: A place that no pre-token goes on across: before white space; between letters and digits; between these and other
+#: signs, but for an apostrophe before letters. A scan has a boundary here wherever it began.
+IN_STEP = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})")
 
 _ENCODERS: dict[int, object] = {}
 
@@ -45,7 +54,7 @@ def encoder(data: bytes):
 
 
 def encode(enc, text: str | None) -> np.ndarray:
-    """Ids of one text; null and empty text have none. Special tokens' strings are ordinary text."""
+    """Ids of one piece; null and empty text have none. Special tokens' strings are ordinary text."""
     return enc.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
 
 
@@ -54,83 +63,120 @@ def decode(data: bytes, ids) -> str:
     return b"".join(encoder(data).decode_tokens_bytes([int(i) for i in ids])).decode("utf-8", "replace")
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    values = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+def cut_near(text: str, at: int, overlap: int) -> int | None:
+    """The first place from ``at`` on, within the overlap, at which all scans are in step; both ends of a text are such places."""
+    if at <= 0 or at >= len(text):
+        return at
+    m = IN_STEP.search(text, at, min(len(text), at + overlap))
+    return m.start() if m else None
 
 
-def boundaries(part: str, first: int, last: int) -> list[int]:
-    """Ends of the pre-tokens of ``part`` found by scanning from its start, between two positions."""
-    return [e for m in regex.finditer(PATTERN, part) if first <= (e := m.end()) <= last]
+def cuts(text: str, lo: int, hi: int, chunk: int, overlap: int) -> list[int]:
+    """The cuts of the chunks that end after ``lo`` and before ``hi``."""
+    found = []
+    for at in range(lo + chunk, hi, chunk):
+        c = cut_near(text, at, overlap)
+        # an overlap longer than a chunk may give a cut twice
+        if c is not None and (not found or c > found[-1]):
+            found.append(c)
+    return found
 
 
-def certain(part: str, ends: list[int]) -> int | None:
-    """The first of the boundaries between a character and white space after it.
+def encode_stretch(enc, text: str, lo: int, hi: int, first: bool, last: bool, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[str | None, np.ndarray | None, str | None]:
+    """``(head, ids, tail)`` of the chunks of ``text`` between ``lo`` and ``hi``, multiples of ``chunk`` but for the end.
 
-    No pre-token goes on across such a place, wherever the scan began.
+    ``text`` also has a character before ``lo`` and the overlap after ``hi``, where
+    there are any. ``head`` is the text before the first cut if that belongs to what
+    is before ``lo``, ``tail`` the one after the last cut if it goes on after ``hi``;
+    else they are none. Without a cut there are no ids, and all of the text is in
+    ``head``.
     """
-    return next((e for e in ends if 0 < e < len(part) and not part[e - 1].isspace() and part[e].isspace()), None)
-
-
-def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str = VOCAB, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``(<key>, ids)`` for every row of ``df``.
-
-    A text of up to ``chunk`` characters is encoded where it lies, without a
-    shuffle. A longer one is cut into overlapping chunks that are pre-tokenised in
-    parallel. Neighbours are stitched where their boundaries resynchronise: a scan
-    depends on nothing but its position and what follows, so that from a common
-    boundary on both find the same pre-tokens, if the left one's are right. Chunks
-    that never resynchronise are joined, and the pieces are encoded in parallel. Null and empty texts give the empty list, blank ones are encoded;
-    repeated keys keep a row each as long as their texts have up to ``chunk``
-    characters (longer texts need a unique key); other columns are ignored.
+    begin = lo if first else cut_near(text, lo, overlap)
+    end = hi if last else cut_near(text, hi, overlap)
+    at = [c for c in cuts(text, lo, hi, chunk, overlap) if (begin is None or c > begin) and (end is None or c < end)]
+    if begin is not None:
+        at.insert(0, begin)
+    if end is not None and (not at or end > at[-1]):
+        at.append(end)
+    if not at:
+        return text[lo:hi], None, None
+    ids = [encode(enc, text[a:b]) for a, b in zip(at, at[1:])]
+    head = text[lo : at[0]] if begin is None else None
+    tail = text[at[-1] : hi] if end is None else None
+    return head, np.concatenate(ids) if ids else np.empty(0, np.uint32), tail
+
+
+def stitch(enc, parts: list[tuple[str | None, np.ndarray | None, str | None]]) -> np.ndarray:
+    """The ids of a text from its stretches in order: open ends that meet are encoded together."""
+    out, open_ = [], []
+    for head, ids, tail in parts:
+        if head is not None:
+            open_.append(head)
+        if ids is None:
+            continue
+        out.append(encode(enc, "".join(open_)))
+        out.append(np.asarray(ids, np.uint32))
+        open_ = [] if tail is None else [tail]
+    out.append(encode(enc, "".join(open_)))
+    return np.concatenate(out)
+
+
+def _lists(parts: list[np.ndarray | None]) -> pa.Array:
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([0 if p is None else len(p) for p in parts], out=offsets[1:])
+    given = [p for p in parts if p is not None]
+    values = np.concatenate(given).astype(np.int32) if given else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([p is None for p in parts]))
+
+
+def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str = VOCAB, chunk: int = CHUNK, overlap: int = OVERLAP, chunks: int = CHUNKS) -> DataFrame:
+    """``(<key>, ids)``: one row for every row of ``df``.
+
+    All texts are encoded by overlapping chunks of ``chunk`` characters. A text of
+    up to ``chunks`` of them is one stretch, which is worked on where it lies. Longer
+    ones are several stretches that are dealt out to tasks; their ids are gathered
+    and stitched by key and whole text, so that repeated and null keys, and repeated
+    rows, keep a row each at every length. Null and empty texts give the empty
+    list, blank ones are encoded; an empty table gives no rows; other columns are
+    ignored.
     """
+    if chunk < 1 or overlap < 1 or chunks < 1:
+        raise ValueError("chunk, overlap and chunks are at least 1")
     data = df.sparkSession.sparkContext.broadcast(vocabulary(vocab))
     kind = df.schema[key].dataType.simpleString()
+    size = chunk * chunks
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    n = F.length("t")
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(data.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([encode(enc, t) for t in b.column(1).to_pylist()])], names=[key, "ids"])
-
-    t = F.col(text)
-    rows = df.select(key, t.alias("_t")).where(t.isNull() | (F.length(t) <= chunk))
-    done = rows.mapInArrow(short, f"`{key}` {kind}, ids array<int>")
-
-    # pre-tokenise each chunk with its overlaps
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = b.to_pydict()
-            heads, tails, sure = [], [], []
-            for no, lo, hi, base, part in zip(d["no"], d["lo"], d["hi"], d["base"], d["part"]):
-                ends = [base + e for e in boundaries(part, 0, len(part))]
-                heads.append([e for e in ends if no and lo < e <= lo + overlap - 2])
-                e = certain(part, [e - base for e in heads[-1]])
-                sure.append(None if e is None else base + e)
-                # near the end of the part a pre-token may be cut short
-                tails.append([e for e in ends if hi < e <= hi + overlap - 2 and e < base + len(part) - 1])
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("no"), b.column("lo"), b.column("base"), b.column("part"), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32())), pa.array(sure, pa.int32())], names=["k", "no", "lo", "base", "part", "head", "tail", "sure"])
-
-    w = Window.partitionBy("k").orderBy("no")
-    chunks = chunk_rows(df, key, text, chunk, overlap).mapInArrow(scan, f"k {kind}, no int, lo int, base int, part string, head array<int>, tail array<int>, sure int")
-    # head and the tail of the chunk before are boundaries in the same stretch of text;
-    # that tail can be relied on if its own chunk is known to be in step
-    in_step = (F.col("no") == 1) | F.lag("sure").over(w).isNotNull()
-    common = F.when(in_step, F.array_min(F.array_intersect("head", F.lag("tail").over(w))))
-    cut = F.when(F.col("no") == 0, F.lit(0)).otherwise(F.coalesce("sure", common))
-    cuts = chunks.withColumn("cut", cut)
-    start = F.coalesce("cut", "lo")
-    nxt = F.lead(start).over(w)
-    pieces = cuts.select("k", "no", F.expr("substring(part, coalesce(cut, lo) - base + 1)").alias("own"), start.alias("at"), nxt.alias("until"), F.count("cut").over(w).alias("piece"))
-    own = F.when(F.col("until").isNull(), F.col("own")).otherwise(F.expr("left(own, until - at)"))
-    joined = pieces.groupBy("k", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", own.alias("s")))), lambda x: x["s"]), "").alias("s"))
-
-    def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            d = b.select(["no", "total", "base", "t"]).to_pydict()
+            done = []
+            for no, total, base, t in zip(d["no"], d["total"], d["base"], d["t"]):
+                t = t or ""
+                lo = no * size - base
+                done.append(encode_stretch(enc, t, lo, len(t) if no == total - 1 else lo + size, no == 0, no == total - 1, chunk, overlap))
+            columns = [pa.array([p[0] for p in done], pa.string()), _lists([p[1] for p in done]), pa.array([p[2] for p in done], pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("copies"), b.column("total"), b.column("h"), b.column("no"), *columns], names=["k", "copies", "total", "h", "no", "head", "ids", "tail"])
+
+    schema = f"k {kind}, copies bigint, total int, h string, no int, head string, ids array<int>, tail string"
+    one = rows.where(F.col("t").isNull() | (n <= size)).select("k", F.lit(1).cast("bigint").alias("copies"), F.lit(1).alias("total"), F.lit("").alias("h"), F.lit(0).alias("no"), F.lit(0).alias("base"), "t")
+    short = one.mapInArrow(stretches, schema).select(F.col("k").alias(key), "ids")
+    # equal rows are encoded once; a key may have several texts, and texts several keys
+    many = rows.where(n > size).groupBy("k", "t").agg(F.count("*").alias("copies")).withColumn("total", F.ceil(n / size).cast("int"))
+    many = many.select("k", "t", "copies", "total", F.concat_ws("-", F.md5("t"), n).alias("h"), F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("no"))
+    base = F.greatest(F.col("no") * size - 1, F.lit(0))
+    part = F.substring("t", base + 1, F.lit(size + overlap + 2))
+    parts = many.select("k", "copies", "total", "h", "no", base.alias("base"), part.alias("t")).repartition("h", "no").mapInArrow(stretches, schema)
+    gathered = parts.groupBy("k", "h", "copies").agg(F.array_sort(F.collect_list(F.struct("no", "head", "ids", "tail"))).alias("parts"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(data.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists([encode(enc, t) for t in b.column(2).to_pylist()])], names=["k", "piece", "ids"])
+            ids = [stitch(enc, [(p["head"], p["ids"], p["tail"]) for p in parts]) for parts in b.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("copies"), _lists(ids)], names=["k", "copies", "ids"])
 
-    encoded = joined.mapInArrow(encode_pieces, f"k {kind}, piece bigint, ids array<int>")
-    long = encoded.groupBy("k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return done.unionByName(long.withColumnRenamed("k", key))
+    long = gathered.select("k", "copies", "parts").mapInArrow(join, f"k {kind}, copies bigint, ids array<int>")
+    long = long.select(F.col("k").alias(key), "ids", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(key, "ids")
+    return short.unionByName(long)

@@ -343,11 +343,32 @@ def test_encode_corpus(spark):
     want = {k: [int(x) for x in tokenizer.encode(enc, t)] for k, t in rows}
     assert want[100] == [] and want[101] == [] and want[102] and want[105] != [50256]
     assert all(tokenizer.decode(data, want[k]) == (t or "") for k, t in rows)
-    for chunk, overlap in ((tokenizer.CHUNK, tokenizer.OVERLAP), (200, 40), (97, 90)):
-        assert {r["doc_id"]: r["ids"] for r in tokenizer.encode_corpus(df, chunk=chunk, overlap=overlap).collect()} == want
+    for sizes in ({}, {"chunk": 200, "overlap": 40, "chunks": 2}, {"chunk": 97, "overlap": 90, "chunks": 1}, {"chunk": 5, "overlap": 9, "chunks": 3}):
+        assert {r["doc_id"]: r["ids"] for r in tokenizer.encode_corpus(df, **sizes).collect()} == want
     assert tokenizer.encode_corpus(df.limit(0)).count() == 0
 
 
+def test_rows_with_repeated_keys_stay_apart_at_every_length(spark):
+    pytest.importorskip("tiktoken")
+    enc = tokenizer.encoder(tokenizer.vocabulary())
+    size = tokenizer.CHUNK * tokenizer.CHUNKS
+    long = ["It's one. " * 9_000, "two" + " " * (size + 5_000) + "words 12 " * 4_000, "x" * (2 * size + 3), "短い文。" * 40_000, "a\n \n b" * 30_000]
+    rows = [(k, t) for k in (1, 1, None, None) for t in ("short one", long[0], "short two", *long)] + [(2, long[1]), (2, None), (None, "")]
+    got = tokenizer.encode_corpus(clashing(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()
+    want = sorted((str(k), [int(x) for x in tokenizer.encode(enc, t)]) for k, t in rows)
+    assert sorted((str(r[0]), r[1]) for r in got) == want
+
+
+def test_scans_are_in_step_at_every_cut():
+    rnd = random.Random(8)
+    for _ in range(300):
+        text = "".join(rnd.choice("aB 1.'s\n\t漢é!\u3000t") for _ in range(60))
+        sure = {m.start() for m in tokenizer.IN_STEP.finditer(text)}
+        for begin in range(20):
+            ends = {m.end() for m in regex.compile(tokenizer.PATTERN).finditer(text, begin)}
+            assert {e for e in sure if e > begin} <= ends
+
+
 # 7: leakage
 
 
