@@ -301,20 +301,36 @@ def test_sentence_edges():
     assert sentences.sentence_ends("a.  ") == [2]
 
 
-def test_stretches_compose():
+def test_chunks_of_any_size_give_the_same_ends():
     rnd = random.Random(2)
-    parts = [t for t, _ in CASES]
-    for _ in range(20):
-        text = " ".join(rnd.choice(parts) for _ in range(60))
-        whole = sentences.sentence_ends(text)
-        size, margin = 700, sentences.MARGIN
-        rows, bases = [], []
-        for lo in range(0, len(text), size):
-            base = max(0, lo - margin)
-            part = text[base : lo + size + margin]
-            rows.append([sentences.stretch(part, s, lo - base, min(size + lo, len(text)) - base) for s in sentences.STATES])
-            bases.append(base)
-        assert sentences.tidy(text, sentences.compose(rows, bases)) == whole
+    odd = ["a", "B", "e.g", "fig", "12", ".", "?", "。", "…", " ", "\n", "\r\n", "\r", '"', "“", "”", "«", "»", "「", "」", "\xa0»", ")", "[12, 3]", "’", "ก", "\x0b", "的", "，", "Dr", "(", "।", " " * 300]
+    for i in range(120):
+        text = "".join(rnd.choice(odd) for _ in range(rnd.randint(1, 30))) if i % 6 else " ".join(rnd.choice(CASES)[0] for _ in range(6))
+        for size in (1, 5, 300) if i % 6 else (40, 300):
+            assert sentences.chunk_ends(text, size) == sentences.sentence_ends(text)
+
+
+def test_prefix_scan_composes_in_order():
+    rnd = np.random.default_rng(3)
+    for n in (1, 2, 7, 64):
+        f = rnd.integers(0, 5, (n, 5)).astype(np.int16)
+        scanned = sentences.prefix_scan(f)
+        for s in range(5):
+            state = s
+            for i in range(n):
+                state = f[i, state]
+                assert scanned[i, s] == state
+
+
+def test_long_texts_and_white_space_over_a_margin(spark):
+    assert sentences.sentence_ends("a b\r\nat. D") == [8, 10]
+    size = sentences.CHUNK
+    texts = ["It is so. " * 9_000, "x" * (size - 100) + "." + " " * 400 + "and so on. " * 4_000, "One" + " " * (2 * size) + "two. Three", "“So. " * 20_000 + "”", " \n" * size, "Fig" + ". 12" * 20_000, "A.\n" + " " * size + "\nB"]
+    rows = [(k, t) for k in ("a", "a", None, None) for t in texts] + [("b", "So. It is."), (None, "So. It is."), ("a", None)]
+    got = sentences.sentences(clashing(spark.createDataFrame(rows, "passage_id string, content string"))).collect()
+    want = sorted((str(k), str(sentences.sentence_ends(t) if t is not None else None)) for k, t in set(rows))
+    assert sorted((str(k), str(e)) for k, e in got) == want
+    assert sentences.sentence_ends(texts[1]) == [len(texts[1]) - 1]
 
 
 def test_sentence_rows(spark):
