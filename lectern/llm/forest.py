@@ -2,10 +2,12 @@
 
 Every record is the set of its words or runs of words. Its signature, minima of
 random hash functions, is read in several orders, one for each tree of the forest.
-Records with a common prefix in a tree are candidates. Where few records share the
-prefix, all their pairs are joined with the signatures; where many do, the group
-is cut into blocks and each pair of blocks is compared by one task. Candidates are
-checked on their signatures, then on the sets themselves.
+In each order the records are sorted, and the nearest ones on both sides, those
+with the longest common prefixes, are candidates: where many records are alike the
+prefixes are long, elsewhere short. Candidates are checked on their signatures,
+then on the sets themselves. Pairs that are similar link their records to groups.
+A family of records that are all alike has more pairs than neighbours; its group is
+completed by comparing its members with each other, in blocks.
 """
 
 from __future__ import annotations
@@ -22,14 +24,18 @@ from ..operators.distinct import distinct_by
 from ..sharedfs import written
 from .termfreq import terms
 
-#: Trees, values of the signature that are a tree's own, and values in a prefix.
+#: Trees, values of the signature that are a tree's own, and values that neighbours have in common at least.
 TREES, OWN, LEAST = 24, 4, 2
-#: Records that share a prefix before they are compared in blocks, and records in a block.
-LEAF, BLOCK = 24, 4_000
-#: The records of a prefix shared by so many, and by this share of all, are spread over the shuffle.
-HOT, HOT_SHARE = 20_000, 1e-3
+#: Neighbours on either side of a record in each order, and rows of an order in a task.
+WINDOW, TASK_ROWS = 8, 250_000
+#: Bytes of the values by which an order is sorted: values further on rarely decide, and one byte will do for an estimate.
+WIDTHS = (3, 3, 2, 2, *[1] * 20)
+#: Members of a group in a block when its pairs are completed.
+BLOCK = 4_000
 #: Deviations of the signatures' estimate below the least similarity that are let pass to the exact check.
 SLACK = 4.0
+#: The same for the estimate by the values of one order alone.
+ORDER_SLACK = 2.5
 #: Keys that are broadcast at most, of up to 64 characters.
 BROADCAST_KEYS = 100_000
 #: Members of a class of equal records that are paired in one place; larger classes are cut into parts of about so many.
@@ -88,58 +94,30 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def _prefixes(sig: np.ndarray, tree: int, trees: int, own: int, depth: int) -> np.ndarray:
-    """Hashes of the prefixes of each length up to ``depth`` of a tree's order, of the rows of ``sig``."""
-    m = trees * own
-    h = np.full(len(sig), tree + 1, np.uint64)
-    out = np.empty((depth, len(sig)), np.uint64)
-    for d in range(depth):
-        h = _mixed(h * _C + sig[:, (tree * own + d) % m].astype(np.uint64))
-        out[d] = h
-    return out
+def order_keys(sig: np.ndarray, tree: int, own: int = OWN, widths: tuple[int, ...] = WIDTHS) -> np.ndarray:
+    """The first values of a tree's order as bytes, a row for each row of ``sig``."""
+    m = sig.shape[1]
+    big = np.ascontiguousarray(sig[:, [(tree * own + d) % m for d in range(len(widths))]].astype(">u4")).view(np.uint8).reshape(len(sig), len(widths), 4)
+    return np.concatenate([big[:, d, 4 - w :] for d, w in enumerate(widths)], 1)
 
 
-def leaf_pairs(route: np.ndarray, tails: np.ndarray, start: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates in sorted signature orders.
+def neighbour_pairs(tree: np.ndarray, keys: np.ndarray, ids: np.ndarray, similar: float, window: int = WINDOW, widths: tuple[int, ...] = WIDTHS, fresh: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows up to ``window`` apart in sorted orders that have the first LEAST values in common, as ``ids``.
 
-    Rows with one ``route`` share a prefix of ``start`` values, the rest of the
-    order is in ``tails``. Where more than ``leaf`` rows share a prefix it grows by
-    one value; where it can't, all of them are candidates of each other.
+    Pairs whose values in this order speak against a similarity of ``similar`` are
+    left out, and those among the first ``fresh`` rows.
     """
-    width = tails.shape[1]
-    order = np.lexsort([ids, *[tails[:, j] for j in range(width - 1, -1, -1)], route])
-    route, tails, start, ids = route[order], tails[order], start[order], ids[order]
-    n = len(ids)
-    # length of the common prefix with the row before, beyond LEAST; -1 for another route
-    same = np.zeros(n, np.int64)
-    if n:
-        run = np.concatenate([[False], route[1:] == route[:-1]])
-        same = np.where(run, 0, -1)
-        for j in range(width):
-            run = run & np.concatenate([[False], tails[1:, j] == tails[:-1, j]])
-            same += run
-    group = np.full(n, -1, np.int64)
-    open_ = np.ones(n, bool)
-    base = 0
-    for d in range(width + 1):
-        begins = same < d
-        number = np.cumsum(begins) - 1
-        size = np.bincount(number, minlength=1)[number] if n else number
-        # a row routed by a longer prefix is not grouped by a shorter one
-        take = open_ & (start <= d) & ((size <= leaf) | (d == width))
-        group[take] = number[take] + base
-        base += n + 1
-        open_ &= ~take
-    # rows of a leaf are next to each other
-    a, b = [], []
-    step = 1
-    alive = np.arange(n)
-    while len(alive):
-        alive = alive[alive + step < n]
-        alive = alive[group[alive] == group[alive + step]]
-        a.append(ids[alive]), b.append(ids[alive + step])
-        step += 1
-    x, y = (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
+    prefix = sum(widths[:LEAST])
+    limit = _limit(len(widths), similar, ORDER_SLACK)
+    a, b = [ids[:0]], [ids[:0]]
+    for k in range(1, min(window, len(ids) - 1) + 1):
+        at = np.flatnonzero((tree[k:] == tree[:-k]) & (keys[k:, :prefix] == keys[:-k, :prefix]).all(1))
+        at = at[at + k >= fresh]
+        equal = keys[at] == keys[at + k]
+        values = np.logical_and.reduceat(equal, np.cumsum([0, *widths[:-1]]), axis=1).sum(1) if len(at) else np.empty(0)
+        at = at[values >= limit]
+        a.append(ids[at]), b.append(ids[at + k])
+    x, y = np.concatenate(a), np.concatenate(b)
     return np.minimum(x, y), np.maximum(x, y)
 
 
@@ -247,74 +225,60 @@ def _large(members: DataFrame, sets: DataFrame, m: int, limit: float, block: int
     return spread.repartition(parts, "route", "lo", "hi").mapInArrow(compare, "a bigint, b bigint")
 
 
-def candidates(sets: DataFrame, n: int, trees: int = TREES, own: int = OWN, least: int = LEAST, leaf: int = LEAF, hot: int = HOT, block: int = BLOCK, similar: float = 0.0) -> DataFrame:
-    """``(a, b)``, ``a`` < ``b``: candidates among the ``n`` records ``(h, sig)``, of which each is in every tree.
+def candidates(sets: DataFrame, n: int, similar: float, trees: int = TREES, own: int = OWN, window: int = WINDOW, rows: int = TASK_ROWS) -> DataFrame:
+    """``(a, b)``, ``a`` < ``b``: the neighbours in the sorted orders of the ``n`` records ``(h, sig)``.
 
-    All pairs of records with a common prefix of ``least`` values in a tree are
-    candidates, however many share it; their signatures mustn't speak against a
-    similarity of ``similar``.
+    Their number is at most ``trees * window`` a record. The orders are cut into
+    ranges of the sorted rows, so that no prefix, however frequent, is gathered in
+    one task; the first and last rows of the ranges are sorted once more, so that
+    neighbours are found across their borders.
     """
     m = trees * own
 
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig = [_matrix(b.column("sig"), m) for b in batches if b.num_rows]
-        rows = sum(map(len, sig))
-        if not rows:
-            return
-        for t in range(trees):
-            k, c = np.unique(np.concatenate([_prefixes(s, t, trees, own, least)[-1] for s in sig]), return_counts=True)
-            often = c >= max(16, rows * HOT_SHARE / 2) if hot > 16 else c > 0
-            yield pa.RecordBatch.from_arrays([pa.array(k[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names=["p", "c"])
-
-    often, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    if n > hot:
-        # what a large share of all records have is frequent in the tasks too; at most 2 / HOT_SHARE prefixes a tree
-        rows = sets.mapInArrow(common, "p bigint, c bigint").groupBy("p").agg(F.sum("c").alias("c")).where(F.col("c") >= max(hot + 1, n * HOT_SHARE)).orderBy("p").collect()
-        often, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    shared = sets.sparkSession.sparkContext.broadcast((often, counts))
-
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, counts = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
             sig = _matrix(b.column("sig"), m)
             for t in range(trees):
-                route = _prefixes(sig, t, trees, own, least)[-1].view(np.int64)
-                c = np.zeros(len(sig), np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, route), len(often) - 1)
-                    c = np.where(often[at] == route, counts[at], 0)
-                yield pa.RecordBatch.from_arrays([pa.array(route), b.column("h"), pa.array(c)], names=["route", "h", "c"])
+                o = order_keys(sig, t, own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array([r.tobytes() for r in o], pa.binary()), b.column("h")], names=["t", "o", "h"])
 
-    rows = sets.select("h", "sig").mapInArrow(plant, "route bigint, h bigint, c bigint")
-    parts = max(12, min(20_000, n * trees // 250_000))
+    width = sum(WIDTHS)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ = [b for b in batches if b.num_rows]
-        if not own_:
-            return
-        t = pa.Table.from_batches(own_).combine_chunks()
-        route, h, c = (t.column(x).to_numpy() for x in ("route", "h", "c"))
-        here = np.flatnonzero(c == 0)
-        # most prefixes are nobody else's
-        _, inverse, count = np.unique(route[here], return_inverse=True, return_counts=True)
-        size = c.copy()
-        size[here] = count[inverse]
-        many = (size > leaf) | (c > 0)
-        few = ~many & (size > 1)
-        a, b = leaf_pairs(route[few], np.empty((few.sum(), 0), np.uint32), np.zeros(few.sum(), np.int64), h[few], leaf)
-        pairs = np.unique(np.stack([a, b], 1), axis=0)
-        x, y, z = np.concatenate([pairs[:, 0], route[many]]), np.concatenate([pairs[:, 1], h[many]]), np.concatenate([np.zeros(len(pairs), np.int64), size[many]])
-        for i in range(0, len(x), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(v[i : i + 100_000]) for v in (x, y, z)], names=["a", "b", "c"])
-
-    # pairs of small groups, and the members of large ones with the number of these
-    spread = F.when(F.col("c") > 0, F.col("h")).otherwise(F.col("route"))
-    both = written(rows.repartition(parts, spread).mapInArrow(compare, "a bigint, b bigint, c bigint"), "leaves")
-    small = estimated(both.where("c = 0").select("a", "b").distinct(), sets, similar, trees, own)
-    members = both.where("c > 0").select(F.col("a").alias("route"), F.col("b").alias("h"), "c")
-    return small.unionByName(_large(members, sets, m, _limit(m, similar), block)).distinct()
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(c: int, a: np.ndarray, b: np.ndarray, o: list[bytes] | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), c, np.int32)), pa.array(a), pa.array(b), pa.array(o or [None] * len(a), pa.binary())], names=["c", "a", "b", "o"])
+
+        t, o, h = np.empty(0, np.int64), np.empty((0, width), np.uint8), np.empty(0, np.int64)
+        begun = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept = len(h)
+            t = np.concatenate([t, b.column("t").to_numpy().astype(np.int64)])
+            o = np.concatenate([o, np.frombuffer(b"".join(b.column("o").to_pylist()), np.uint8).reshape(-1, width)])
+            h = np.concatenate([h, b.column("h").to_numpy()])
+            x, y = neighbour_pairs(t, o, h, similar, window, fresh=kept)
+            if len(x):
+                both = np.unique(np.stack([x, y], 1), axis=0)
+                yield block(0, both[:, 0], both[:, 1])
+            if begun < window:  # the first rows of the range
+                own_ = slice(kept, kept + window - begun)
+                yield block(1, t[own_], h[own_], [r.tobytes() for r in o[own_]])
+                begun += len(h[own_])
+            t, o, h = t[-window:], o[-window:], h[-window:]
+        if len(h):
+            yield block(1, t, h, [r.tobytes() for r in o])
+
+    planted = sets.select("h", "sig").mapInArrow(plant, "t int, o binary, h bigint")
+    schema = "c int, a bigint, b bigint, o binary"
+    parts = max(1, min(n * trees // 4_000, max(12, n * trees // rows)))
+    found = written(planted.repartitionByRange(parts, "t", "o", "h").sortWithinPartitions("t", "o", "h").mapInArrow(look, schema), "neighbours")
+    inside = found.where("c = 0").select("a", "b")
+    # 2 * window rows of each range; the task reads them in order and keeps few of them
+    border = found.where("c = 1").select(F.col("a").cast("int").alias("t"), "o", F.col("b").alias("h")).distinct().repartition(1).sortWithinPartitions("t", "o", "h").mapInArrow(look, schema).where("c = 0").select("a", "b")
+    return inside.unionByName(border).where("a <> b").distinct()
 
 
 def estimated(pairs: DataFrame, sets: DataFrame, least: float, trees: int = TREES, own: int = OWN, slack: float = SLACK) -> DataFrame:
@@ -349,23 +313,8 @@ class Found:
         self.members, self.pairs = members, pairs
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, run: int, least: float, least_set: int = 1, least_words: int = 0, trees: int = TREES, leaf: int = LEAF) -> Found:
-    """Classes of records with the same set, and all found pairs of classes with a similarity of at least ``least``.
-
-    A record's set has the distinct runs of ``run`` words (longest runs of letters,
-    marks and digits, after NFC and lower-casing); similarity is the share of the
-    common elements in all of two. Records with a null key or text, with fewer than
-    ``least_set`` elements or ``least_words`` words between white space are left
-    out. Equal sets are one class, of which one record is compared; a key with
-    several sets is in several classes. Texts are taken whole. The sets' 64-bit
-    hashes stand for the sets. An empty table gives no rows; other columns are
-    ignored. Pairs may be missed by chance, in one of some hundreds near ``least``.
-    """
-    signed = written(signatures(df, key, text, run, least_set, least_words, trees), "signatures")
-    members = signed.select("key", "h").distinct()
-    sets = distinct_by(signed.select("h", "sig"), "h")
-    n = signed.count()
-    close = written(candidates(sets, n, trees, leaf=leaf, similar=least), "close")
+def _checked(df: DataFrame, key: str, text: str, run: int, least: float, signed: DataFrame, close: DataFrame) -> DataFrame:
+    """``(a, b, similarity)``: the pairs of ``close`` with a similarity of at least ``least``, by the sets themselves."""
     # one record of each class of which the set is needed
     needed = close.select(F.col("a").alias("k")).union(close.select(F.col("b").alias("k"))).distinct()
     one = written(_only(signed.select("key", "h"), "h", needed).groupBy("h").agg(F.min("key").alias("key")), "needed")
@@ -390,8 +339,44 @@ def near_duplicates(df: DataFrame, key: str, text: str, run: int, least: float,
                 share.append(c / (len(x) + len(y) - c))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(share, pa.float64())], names=["a", "b", "similarity"])
 
-    pairs = both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint, similarity double").where(F.col("similarity") >= least)
-    return Found(members, written(pairs, "pairs"))
+    return written(both.select("a", "b", "sa", "sb").mapInArrow(check, "a bigint, b bigint, similarity double").where(F.col("similarity") >= least), "pairs")
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, run: int, least: float, least_set: int = 1, least_words: int = 0, trees: int = TREES, window: int = WINDOW, complete: bool = True, block: int = BLOCK) -> Found:
+    """Classes of records with the same set, and the pairs of classes with a similarity of at least ``least``.
+
+    A record's set has the distinct runs of ``run`` words (longest runs of letters,
+    marks and digits, after NFC and lower-casing); similarity is the share of the
+    common elements in all of two. Records with a null key or text, with fewer than
+    ``least_set`` elements or ``least_words`` words between white space are left
+    out. Equal sets are one class, of which one record is compared; a key with
+    several sets is in several classes. Texts are taken whole. The sets' 64-bit
+    hashes stand for the sets. An empty table gives no rows; other columns are
+    ignored.
+
+    The pairs found are those among the neighbours in the forest's orders, whose
+    number grows in proportion to the records; ``complete`` adds all other similar
+    pairs within the groups that these form, by comparing the members of each group
+    in blocks of ``block``, work that grows with the number of pairs in a group.
+    A pair is missed if nothing in its group links its records. README.md has the
+    measured recall.
+    """
+    signed = written(signatures(df, key, text, run, least_set, least_words, trees), "signatures")
+    members = signed.select("key", "h").distinct()
+    sets = distinct_by(signed.select("h", "sig"), "h")
+    n = signed.count()
+    close = written(estimated(candidates(sets, n, least, trees, window=window), sets, least, trees), "close")
+    pairs = _checked(df, key, text, run, least, signed, close)
+    if complete:
+        label = labels(pairs)
+        large = label.groupBy("l").agg(F.count("*").alias("c")).where("c > 2")
+        if not large.isEmpty():
+            m = trees * OWN
+            grouped = label.join(large, "l").select(F.col("l").alias("route"), F.col("v").alias("h"), "c")
+            more = written(_large(grouped, sets, m, _limit(m, least), block).join(close, ["a", "b"], "left_anti"), "rest")
+            if not more.isEmpty():
+                pairs = pairs.unionByName(_checked(df, key, text, run, least, signed, more))
+    return Found(members, pairs)
 
 
 def _all_pairs(m: DataFrame, links: DataFrame, part: int) -> DataFrame:
@@ -426,26 +411,33 @@ def record_pairs(found: Found, class_limit: int | None = None, part: int = CLASS
     return rows.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
-def groups(found: Found, most: int = 40) -> DataFrame:
-    """``(key, class_id, group_id, links)``: one row for each record and class.
+def labels(pairs: DataFrame) -> DataFrame:
+    """``(v, l)``: the least class connected with each class that is in a pair.
 
-    ``group_id`` is the least class that is connected with the record's by similar
-    pairs, ``links`` the number of other classes it is similar to. Labels go from
-    neighbour to neighbour, and to the label's label, until none changes.
+    Labels go from neighbour to neighbour, and to the label's label, until none
+    changes: every round but the last lowers one, and a chain of any length takes
+    about the logarithm of its length.
     """
-    edges = found.pairs.select("a", "b").union(found.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = written(edges, "edges")
+    edges = written(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     label = written(edges.select(F.col("a").alias("v")).distinct().withColumn("l", F.col("v")), "labels")
-    for _ in range(most):
+    while True:
         near = edges.join(label, F.col("b") == F.col("v")).groupBy("a").agg(F.min("l").alias("m"))
         step = label.join(near, F.col("v") == F.col("a")).select("v", "l", F.least("l", "m").alias("m"))
         jump = step.join(label.select(F.col("v").alias("w"), F.col("l").alias("ll")), F.col("m") == F.col("w"))
         after = written(jump.select("v", F.least("m", "ll").alias("l"), (F.least("m", "ll") != F.col("l")).alias("changed")), "labels")
         label = after.select("v", "l")
         if after.where("changed").isEmpty():
-            break
-    else:
-        raise RuntimeError("the groups aren't complete")
-    degree = edges.groupBy("a").agg(F.count("*").alias("links"))
+            return label
+
+
+def groups(found: Found) -> DataFrame:
+    """``(key, class_id, group_id, links)``: one row for each record and class.
+
+    ``group_id`` is the least class that is connected with the record's by similar
+    pairs, ``links`` the number of other classes it was found to be similar to.
+    """
+    label = labels(found.pairs)
+    both = found.pairs.select("a").union(found.pairs.select(F.col("b").alias("a")))
+    degree = both.groupBy("a").agg(F.count("*").alias("links"))
     rows = found.members.join(label, F.col("h") == F.col("v"), "left").join(degree, F.col("h") == F.col("a"), "left")
     return rows.select("key", F.col("h").alias("class_id"), F.coalesce("l", "h").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

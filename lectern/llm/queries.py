@@ -20,23 +20,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name, heavy=name in _HEAVY)
 
 
-def _titles(spark: SparkSession, sf_dir: str) -> forest.Found:
-    return forest.near_duplicates(_table(spark, sf_dir, "papers"), "clean_id", "title", run=1, least=0.6, least_set=4)
+def _titles(spark: SparkSession, sf_dir: str, complete: bool) -> forest.Found:
+    return forest.near_duplicates(_table(spark, sf_dir, "papers"), "clean_id", "title", run=1, least=0.6, least_set=4, complete=complete)
 
 
-def _contents(spark: SparkSession, sf_dir: str) -> forest.Found:
-    return forest.near_duplicates(_table(spark, sf_dir, "passages").where("type = 'text'"), "passage_id", "content", run=3, least=0.5, least_words=40)
+def _contents(spark: SparkSession, sf_dir: str, complete: bool) -> forest.Found:
+    return forest.near_duplicates(_table(spark, sf_dir, "passages").where("type = 'text'"), "passage_id", "content", run=3, least=0.5, least_words=40, complete=complete)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = forest.record_pairs(_titles(spark, sf_dir)).withColumn("field", F.lit("title"))
-    content = forest.record_pairs(_contents(spark, sf_dir)).withColumn("field", F.lit("content"))
+    title = forest.record_pairs(_titles(spark, sf_dir, True)).withColumn("field", F.lit("title"))
+    content = forest.record_pairs(_contents(spark, sf_dir, True)).withColumn("field", F.lit("content"))
     return title.unionByName(content).select("field", "key_a", "key_b")
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = forest.groups(_titles(spark, sf_dir)).withColumn("field", F.lit("title"))
-    content = forest.groups(_contents(spark, sf_dir)).withColumn("field", F.lit("content"))
+    title = forest.groups(_titles(spark, sf_dir, False)).withColumn("field", F.lit("title"))
+    content = forest.groups(_contents(spark, sf_dir, False)).withColumn("field", F.lit("content"))
     return title.unionByName(content).select("field", "key", "class_id", "group_id", "links")
 
 

@@ -56,33 +56,72 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("leaf", [forest.LEAF, 2])
-def test_near_duplicates(spark, texts, leaf):
+@pytest.mark.parametrize("window", [forest.WINDOW, 1])
+def test_near_duplicates(spark, texts, window):
     df = clashing(spark.createDataFrame(texts, "key string, text string"))
-    found = forest.near_duplicates(df, "key", "text", run=3, least=0.5, least_words=3, leaf=leaf)
-    got, want = {tuple(r) for r in forest.record_pairs(found).collect()}, brute_pairs(texts, 3, 0.5, least_words=3)
-    # families larger than a leaf are found by longer prefixes
-    assert got == want if leaf > 2 else got <= want and len(got) > 0.8 * len(want)
+    found = forest.near_duplicates(df, "key", "text", run=3, least=0.5, least_words=3, window=window, block=30)
+    assert {tuple(r) for r in forest.record_pairs(found).collect()} == brute_pairs(texts, 3, 0.5, least_words=3)
 
 
-def test_candidates_of_frequent_prefixes(spark, texts):
+def test_neighbours_across_ranges(spark, texts):
     df = spark.createDataFrame(texts, "key string, text string")
     sets = distinct_by(forest.signatures(df, "key", "text", 3, 1, 0).select("h", "sig"), "h")
     n = sets.count()
-    # all prefixes that occur twice are routed by longer ones: only deeper candidates are left
-    deep = {tuple(r) for r in forest.candidates(sets, n, hot=1).collect()}
-    assert deep <= {tuple(r) for r in forest.candidates(sets, n).collect()}
-
-
-@pytest.mark.parametrize("hot, block", [(forest.HOT, forest.BLOCK), (20, 30)])
-def test_families_of_more_than_a_leaf(spark, hot, block):
-    # 100 texts of which each two have about half of their words in common: all above the limit are found
+    one = {tuple(r) for r in forest.candidates(sets, n, 0.5, rows=10**9).collect()}
+    # ranges of few rows: neighbours across their borders are found too, with at most some more
+    cut = {tuple(r) for r in forest.candidates(sets, 50 * n, 0.5, rows=1).collect()}
+    assert one and one <= cut and len(cut) < 1.5 * len(one)
+    assert all(a < b for a, b in one)
+
+
+def family(n, similar, rng, m=96):
+    """Signatures of ``n`` records of which each two have this similarity."""
+    own = rng.random((n, m)) >= similar**0.5
+    return np.where(own, rng.integers(0, 1 << 32, (n, m)), rng.integers(0, 1 << 32, m)).astype(np.uint32)
+
+
+@pytest.mark.parametrize("similar", [0.55, 0.65, 0.8])
+@pytest.mark.parametrize("n", [20, 200, 1000, 10_000])
+def test_families_are_linked(n, similar):
+    rng = np.random.default_rng(n)
+    # beside the family as many records again that have nothing in common
+    sig = np.concatenate([family(n, similar, rng), rng.integers(0, 1 << 32, (n, 96)).astype(np.uint32)])
+    ids = rng.permutation(2 * n)
+    label = np.arange(2 * n)
+    pairs = 0
+    for t in range(forest.TREES):
+        keys = forest.order_keys(sig, t)
+        order = np.lexsort(keys.T[::-1])
+        a, b = forest.neighbour_pairs(np.zeros(2 * n), keys[order], ids[order], 0.5)
+        pairs += len(a)
+        for _ in range(12):
+            low = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, low), np.minimum.at(label, b, low)
+            label = label[label]
+    got = np.bincount(label[ids[:n]], minlength=2 * n)
+    assert pairs <= 2 * n * forest.TREES * forest.WINDOW
+    # pairs whose records are in one group, all of which are compared
+    assert (got * (got - 1)).sum() >= 0.95 * n * (n - 1)
+    assert len(np.unique(label[ids[n:]])) == n
+
+
+def test_families_have_all_pairs(spark):
+    # 100 texts of which each two have about half of their words in common
     rnd = random.Random(3)
     rows = [(f"k{i:03d}", " ".join([f"base{j}" for j in range(80)] + [f"own{i}x{j}" for j in range(rnd.randint(38, 42))])) for i in range(100)]
-    sets = distinct_by(forest.signatures(spark.createDataFrame(rows, "key string, text string"), "key", "text", 1, 1, 0).select("h", "sig"), "h")
-    got = forest.candidates(sets, 100, similar=0.5, hot=hot, block=block)
-    assert got.count() == got.distinct().count() and got.count() > 0.99 * 100 * 99 / 2
-    assert got.where("a >= b").count() == 0
+    want = brute_pairs(rows, 1, 0.5)
+    for block in (forest.BLOCK, 30):
+        found = forest.near_duplicates(spark.createDataFrame(rows, "key string, text string"), "key", "text", run=1, least=0.5, block=block)
+        assert {tuple(r) for r in forest.record_pairs(found).collect()} == want and len(want) > 2_000
+
+
+def test_hot_family_of_near_equal_texts(spark):
+    # a third of all rows: ranges stay small and the groups need no pairs
+    rows = [(f"k{i:05d}", " ".join([f"base{j}" for j in range(80)] + [f"own{i}"])) for i in range(3000)] + [(f"x{i:05d}", " ".join(f"x{i}w{j}" for j in range(30))) for i in range(6000)]
+    found = forest.near_duplicates(spark.createDataFrame(rows, "key string, text string"), "key", "text", run=1, least=0.5, complete=False)
+    assert found.pairs.count() <= 9000 * forest.TREES * forest.WINDOW
+    got = [r["group_id"] for r in forest.groups(found).where("key < 'x'").collect()]
+    assert max(got.count(g) for g in set(got)) == 3000
 
 
 def test_groups_and_large_classes(spark, texts):
@@ -122,27 +161,6 @@ def test_near_duplicates_of_nothing(spark):
     assert forest.record_pairs(found).count() == 0 and forest.groups(found).count() == 0
 
 
-def test_leaf_pairs_splits_only_what_is_large():
-    rng = np.random.default_rng(1)
-    route = rng.integers(0, 4, 200).astype(np.int64)
-    tails = rng.integers(0, 3, (200, 4)).astype(np.uint32)
-    ids = rng.permutation(200).astype(np.int64)
-    a, b = forest.leaf_pairs(route, tails, np.zeros(200, np.int64), ids, 6)
-    got = set(zip(a.tolist(), b.tolist()))
-    want = set()
-    left = {i: (route[i], *tails[i]) for i in range(200)}
-    for d in range(5):
-        groups = {}
-        for i, p in left.items():
-            groups.setdefault(p[: d + 1], []).append(i)
-        for g in groups.values():
-            if len(g) <= 6 or d == 4:
-                want |= {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in g for j in g if ids[i] < ids[j]}
-                for i in g:
-                    del left[i]
-    assert got == {(int(x), int(y)) for x, y in want}
-
-
 # 2: oversized items
 
 
