@@ -62,7 +62,7 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.similar_pairs(p4_nearest(spark, sf_dir))
+    return neighbours.similar_pairs(p4_nearest(spark, sf_dir), vectors=spark.read.parquet(f"{sf_dir}/passage_vectors.parquet"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

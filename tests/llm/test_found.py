@@ -244,7 +244,7 @@ def test_nearest(spark):
     copies = [(1000 + i, rows[5][1]) for i in range(9)]
     df = clashing(spark.createDataFrame(rows + rows[:7] + bad + copies, "vec_id bigint, embedding array<double>").drop("id")).repartition(5)
     got = {}
-    for r in neighbours.nearest(df, list_size=60, probes=4).collect():
+    for r in neighbours.nearest(df, list_size=60).collect():
         got.setdefault(r["vec_id"], {})[r["rank"]] = (r["neighbour"], r["cosine"])
     ids = np.array([r[0] for r in rows + copies])
     m = np.array([r[1] for r in rows + copies])
@@ -264,12 +264,11 @@ def test_nearest(spark):
     assert neighbours.nearest(few).count() == 6
 
 
-def test_long_lists_are_scanned_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "PART", 50)
+def test_long_lists_are_scanned_in_parts(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(1 + 0.3 * rng.standard_normal((300, 96)))]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = neighbours.nearest(df, list_size=1000).toPandas()
+    got = neighbours.nearest(df, list_size=1000, part=50).toPandas()
     m = np.array([r[1] for r in rows])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     s = m @ m.T
@@ -279,6 +278,33 @@ def test_long_lists_are_scanned_in_parts(spark, monkeypatch):
     assert np.mean([len(near[i] & set(top[i].tolist())) / 5 for i in range(300)]) > 0.95
 
 
+def test_many_centroids_and_long_lists_are_searched_by_two_levels():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + 0.5 * rng.standard_normal((100, 96)) for c in rng.standard_normal((60, 96))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    flat, tree = neighbours.Centroids(x, 60), neighbours.Centroids(x, 60, flat=10)
+    assert abs(len(tree) - 60) < 12
+    near, count = tree.nearest(x)
+    like = x @ tree.c.T
+    assert (np.take_along_axis(like, near, 1)[:, 0] >= like.max(1) - 1e-6).mean() > 0.97
+    assert (count >= 1).all() and flat.nearest(x)[0].shape == near.shape
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    top = np.argsort(-s, 1)[:, :5]
+    i, j, _ = neighbours.scan_list(x, x, np.arange(len(x)), np.arange(len(x)), 5, size=500)
+    assert np.mean([len(set(j[i == q].tolist()) & set(top[q].tolist())) / 5 for q in range(0, len(x), 10)]) > 0.95
+    assert np.abs(neighbours.unpacked(__import__("pyarrow").array([r.tobytes() for r in neighbours.packed(x)]), 96) - x).max() < 2e-5
+
+
+def test_pairs_near_the_limit_are_computed_once_more(spark):
+    a, c = [1.0] + [0.0] * 95, 0.85
+    rows = [(1, a), (2, [c, (1 - c * c) ** 0.5 * 1.00001] + [0.0] * 94), (3, [c, (1 - c * c) ** 0.5 * 0.99999] + [0.0] * 94), (4, [0.9, 0.19**0.5] + [0.0] * 94)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    n = spark.createDataFrame([(1, 2, 0.85001, 1), (3, 1, 0.84999, 1), (1, 4, 0.9, 2), (4, 1, 0.9, 1)], "vec_id bigint, neighbour bigint, cosine double, rank int")
+    for limit in (200_000, 0):
+        assert {tuple(r) for r in neighbours.similar_pairs(n, vectors=df, limit=limit).collect()} == {(1, 3), (1, 4)}
+
+
 def test_similar_pairs(spark):
     n = spark.createDataFrame([(1, 2, 0.9, 1), (2, 1, 0.9, 1), (3, 1, 0.84, 1), (5, 4, 0.85, 1)], "vec_id bigint, neighbour bigint, cosine double, rank int")
     assert {tuple(r) for r in neighbours.similar_pairs(n).collect()} == {(1, 2), (4, 5)}
