@@ -67,7 +67,7 @@ def split_table(text: str, max_words: int = OVERSIZED_WORDS) -> list[str]:
     if rest and "---" in rest[0]:
         rule, rest = rest[0], rest[1:]
     else:
-        rule = "| " + " | ".join(["---"] * max(1, header.count("|") - 1)) + " |"
+        rule = "| " + " | ".join(["---"] * header.count("|")) + " |"
     if not rest:
         return [text]
     head = captions[-1:] + [header, rule]
@@ -221,13 +221,21 @@ def chunk_papers(papers: DataFrame, config: ChunkConfig = ChunkConfig()) -> Data
 
 
 def isolation_errors(passages: DataFrame, papers: DataFrame) -> DataFrame:
-    """``(passage_id, errors)`` of passages whose section (1) or block range (1) isn't one of their paper's."""
-    sec = papers.select("arxiv_id", F.explode("sections").alias("x")).select("arxiv_id", F.col("x.section_id").alias("section_id"), F.size("x.blocks").alias("blocks")).where("section_id is not null").groupBy("arxiv_id", "section_id").agg(F.max("blocks").alias("blocks"))
-    j = passages.select("passage_id", "arxiv_id", "section_id", "block_range").join(sec, ["arxiv_id", "section_id"], "left")
+    """``(passage_id, errors)`` of passages with a section (1) that their paper lacks, or a block range (1) that its section lacks.
+
+    An empty or null section, or one that is written as a path, is an error too.
+    The range is checked only if the paper has the section, of repeated ones the
+    first; it must have two numbers in order. A section id of null is found by
+    null.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col("section_id")), F.lit(""))
+    sec = papers.select("arxiv_id", F.posexplode("sections").alias("s", "x")).select("arxiv_id", "s", F.col("x.section_id").alias("section_id"), F.greatest(F.size("x.blocks"), F.lit(0)).alias("n"))
+    sec = sec.groupBy("arxiv_id", key.alias("sid")).agg(F.min_by("n", "s").alias("blocks"))
+    j = passages.select("passage_id", "arxiv_id", "section_id", "block_range", key.alias("sid")).join(sec, ["arxiv_id", "sid"], "left")
     a, b = F.get("block_range", F.lit(0)), F.get("block_range", F.lit(1))
     bad_section = F.col("blocks").isNull() | (F.coalesce("section_id", F.lit("")) == "") | F.contains("section_id", F.lit(" > "))
-    bad_range = ~F.coalesce((F.size("block_range") == 2) & (a >= 0) & (a <= b) & (b < F.col("blocks")), F.lit(False))
-    return j.select("passage_id", (F.coalesce(bad_section, F.lit(True)).cast("int") + bad_range.cast("int")).alias("errors")).where("errors > 0")
+    bad_range = F.col("blocks").isNotNull() & ~F.coalesce((F.size("block_range") == 2) & (a >= 0) & (a <= b) & (b < F.col("blocks")), F.lit(False))
+    return j.select("passage_id", (bad_section.cast("int") + bad_range.cast("int")).alias("errors")).where("errors > 0")
 
 
 def report(passages: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:

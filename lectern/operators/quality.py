@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -65,40 +67,65 @@ def table_outliers(papers: DataFrame, least: int = 20, factor: float = 2.5) -> D
     return rows.crossJoin(F.broadcast(limit)).where("tables >= threshold")  # one row
 
 
-def section_words(papers: DataFrame) -> DataFrame:
-    """``(arxiv_id, section_id, b, grams)``: hashes of the 8-grams of the text blocks, in lower case."""
-    b = blocks(papers).where("type = 'text' and content is not null and section_id is not null")
-    return b.select("arxiv_id", "section_id", "s", "b", T.ngram_hashes(T.words(F.lower("content"))).alias("grams"))
+#: What stands for a formula in a text.
+_MARKER = "[EQUATION]"
+
+
+def _sid() -> Column:
+    """The key of a section: its id after a mark, so that null is a key too."""
+    return F.coalesce(F.concat(F.lit("="), F.col("section_id")), F.lit(""))
+
+
+def _unmarked(content: Column) -> Column:
+    return F.replace(F.coalesce(content, F.lit("")), F.lit(_MARKER), F.lit(""))
+
+
+def block_grams(papers: DataFrame) -> DataFrame:
+    """``(arxiv_id, sid, s, b, grams)``: hashes of the 8-grams of the text blocks without formula marks, as they are written."""
+    return blocks(papers).where("type = 'text'").select("arxiv_id", _sid().alias("sid"), "s", "b", T.ngram_hashes(T.words(_unmarked(F.col("content")))).alias("grams"))
+
+
+def section_grams(papers: DataFrame) -> DataFrame:
+    """``(arxiv_id, sid, grams)``: hashes of the 8-grams of each section's text and equation blocks, joined; of repeated sections the last."""
+    own = papers.select("arxiv_id", F.posexplode("sections").alias("s", "x")).select("arxiv_id", "s", F.col("x.section_id").alias("section_id"), F.filter("x.blocks", lambda b: b["type"].isin("text", "equation")).alias("blocks"))
+    text = F.array_join(F.transform("blocks", lambda b: _unmarked(b["content"])), " ")
+    last = own.select("arxiv_id", _sid().alias("sid"), "s", T.ngram_hashes(T.words(text)).alias("grams")).groupBy("arxiv_id", "sid").agg(F.max_by("grams", "s").alias("grams"))
+    return last.select("arxiv_id", "sid", F.coalesce("grams", F.array().cast("array<bigint>")).alias("grams"))
 
 
 def passage_grams(passages: DataFrame) -> DataFrame:
-    p = passages.where("type = 'text' and content is not null and section_id is not null")
-    return p.select("passage_id", "arxiv_id", "section_id", T.ngram_hashes(T.words(F.lower("content"))).alias("grams"))
+    p = passages.where("type = 'text'")
+    return p.select("passage_id", "arxiv_id", _sid().alias("sid"), T.ngram_hashes(T.words(F.coalesce("content", F.lit("")))).alias("grams"))
 
 
 def gram_coverage(papers: DataFrame, passages: DataFrame) -> DataFrame:
-    """One row: 8-grams of the source blocks, those found in the passages of their section, and the percentage.
+    """One row: 8-grams of the source's text blocks, those found in the text passages of their section, and the percentage.
 
-    Grams count with their multiplicity, each block against the whole section.
-    Grams travel as hashes. Null if there are none. Blocks and passages with a null
-    ``section_id`` are left out, so that the percentage isn't over all source text.
+    Grams count with their multiplicity, each block against the whole section;
+    marks of formulas are taken out of the blocks, letters keep their case. Grams
+    travel as hashes. Blocks of sections without id are compared with the passages
+    without id. Null if there are none.
     """
-    src = section_words(papers).select("arxiv_id", "section_id", "s", "b", F.explode("grams").alias("h")).groupBy("arxiv_id", "section_id", "s", "b", "h").agg(F.count("*").alias("c"))
-    got = passage_grams(passages).select("arxiv_id", "section_id", F.explode("grams").alias("h")).groupBy("arxiv_id", "section_id", "h").agg(F.count("*").alias("d"))
-    j = src.join(got, ["arxiv_id", "section_id", "h"], "left")
+    src = block_grams(papers).select("arxiv_id", "sid", "s", "b", F.explode("grams").alias("h")).groupBy("arxiv_id", "sid", "s", "b", "h").agg(F.count("*").alias("c"))
+    got = passage_grams(passages).select("arxiv_id", "sid", F.explode("grams").alias("h")).groupBy("arxiv_id", "sid", "h").agg(F.count("*").alias("d"))
+    j = src.join(got, ["arxiv_id", "sid", "h"], "left")
     return j.agg(F.sum("c").alias("source"), F.sum(F.least("c", F.coalesce("d", F.lit(0)))).alias("covered")).withColumn("percent", F.bround(F.try_divide(F.col("covered") * 100.0, "source"), 4))
 
 
 def gram_leaks(papers: DataFrame, passages: DataFrame) -> DataFrame:
-    """``(passage_id, leaks)``: distinct 8-grams of a passage that its own section lacks and another section of its paper has.
+    """``(passage_id, leaks)``: 8-grams of a text passage, each time they occur, that its own section lacks and another section of its paper has.
 
-    Blocks and passages with a null ``section_id`` are left out.
+    A section's grams are those of its text and equation blocks joined to one text,
+    without marks of formulas. Passages of sections that the paper lacks aren't
+    examined.
     """
-    src = section_words(papers).select("arxiv_id", "section_id", F.explode("grams").alias("h")).distinct()
-    own = passage_grams(passages).select("passage_id", "arxiv_id", "section_id", F.explode("grams").alias("h")).distinct()
-    foreign = own.join(src, ["arxiv_id", "section_id", "h"], "left_anti")
+    sections = section_grams(papers)
+    src = sections.select("arxiv_id", "sid", F.explode("grams").alias("h")).distinct()
+    own = passage_grams(passages).join(sections.select("arxiv_id", "sid"), ["arxiv_id", "sid"], "left_semi")
+    own = own.select("passage_id", "arxiv_id", "sid", F.explode("grams").alias("h")).groupBy("passage_id", "arxiv_id", "sid", "h").agg(F.count("*").alias("c"))
+    foreign = own.join(src, ["arxiv_id", "sid", "h"], "left_anti")
     other = src.select("arxiv_id", "h").distinct()
-    return foreign.join(other, ["arxiv_id", "h"], "left_semi").groupBy("passage_id").agg(F.count("*").alias("leaks"))
+    return foreign.join(other, ["arxiv_id", "h"], "left_semi").groupBy("passage_id").agg(F.sum("c").alias("leaks"))
 
 
 def size_buckets(passages: DataFrame, small: int = 60, tiny: int = 20, large: int = 350) -> DataFrame:
@@ -107,24 +134,44 @@ def size_buckets(passages: DataFrame, small: int = 60, tiny: int = 20, large: in
     return passages.agg(F.count("*").alias("passages"), F.count_if(w < small).alias("small"), F.count_if(w < tiny).alias("tiny"), F.count_if(w > large).alias("large"))
 
 
-def latex_noise(passages: DataFrame, field: str = "content") -> DataFrame:
-    """For each text passage the typesetting commands, terms before and after cleaning, and words."""
+def latex_noise(passages: DataFrame, field: str = "content", counter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """For each text passage the typesetting commands, terms before and after cleaning, and words.
+
+    ``counter`` gives a model's number of tokens of a text; without one, terms are
+    counted.
+    """
     p = passages.where("type = 'text' and content is not null")
     c = F.col(field)
-    return p.select("passage_id", F.regexp_count(c, F.lit(T.COMMAND)).alias("commands"), F.size(T.tokens(c)).alias("terms"), F.size(T.tokens(T.clean_latex_strict(c))).alias("terms_clean"), F.size(T.words(c)).alias("words"))
+    counter = counter or (lambda x: F.size(T.tokens(x)))
+    return p.select("passage_id", F.regexp_count(c, F.lit(T.COMMAND)).alias("commands"), counter(c).alias("terms"), counter(T.clean_latex_strict(c)).alias("terms_clean"), F.size(T.words(c)).alias("words"))
+
+
+#: Commands of a noisy and of a very noisy passage, and terms of a long one.
+NOISY, VERY_NOISY, LONG = 20, 50, 512
+
+
+def noise_summary(noise: DataFrame, noisy: int = NOISY, very: int = VERY_NOISY, long: int = LONG) -> DataFrame:
+    """One row: median, 90th and 99th percentile of the commands; passages with at least ``noisy`` and ``very`` commands and
+    their percentages; passages with more than ``long`` terms before and after cleaning, and those that are noisy too; most terms."""
 
+    def percent(x: Column) -> Column:
+        return F.bround(F.try_divide(F.count_if(x) * F.lit(100.0), F.count("*")), 2)
 
-def noise_summary(noise: DataFrame) -> DataFrame:
-    """One row: median, 90th and 99th percentile of the commands, and counts at thresholds."""
-    return noise.agg(F.count("*").alias("passages"), F.median("commands").alias("p50"), F.percentile("commands", 0.9).alias("p90"), F.percentile("commands", 0.99).alias("p99"), F.count_if(F.col("commands") > 10).alias("over10"), F.count_if((F.col("commands") > 10) & (F.col("words") > 200)).alias("over10_long"))
+    c, over = F.col("commands"), F.col("terms") > long
+    return noise.agg(
+        F.count("*").alias("passages"), F.median("commands").alias("p50"), F.percentile("commands", 0.9).alias("p90"), F.percentile("commands", 0.99).alias("p99"),
+        F.count_if(c >= noisy).alias("noisy"), percent(c >= noisy).alias("noisy_percent"), F.count_if(c >= very).alias("very_noisy"), percent(c >= very).alias("very_noisy_percent"),
+        F.count_if(over).alias("long"), F.count_if(over & (c >= noisy)).alias("long_noisy"), F.count_if(F.col("terms_clean") > long).alias("long_clean"), F.max("terms").alias("most"), F.max("terms_clean").alias("most_clean"),
+    )
 
 
-def noise_groups(noise: DataFrame, least: int = 1) -> DataFrame:
-    """Medians of terms to words, and means of terms, of passages with and without commands."""
-    return noise.where("words > 0").groupBy((F.col("commands") >= least).alias("noisy")).agg(F.count("*").alias("passages"), F.bround(F.median(F.col("terms") / F.col("words")), 6).alias("ratio"), F.bround(F.avg("terms"), 4).alias("mean_terms"), F.median("terms").alias("median_terms"))
+def noise_groups(noise: DataFrame, least: int = NOISY) -> DataFrame:
+    """Medians of terms to words, and means and medians of terms, of passages with at least ``least`` commands and with fewer."""
+    ratio = F.col("terms") / F.greatest("words", F.lit(1))
+    return noise.groupBy((F.col("commands") >= least).alias("noisy")).agg(F.count("*").alias("passages"), F.bround(F.median(ratio), 6).alias("ratio"), F.bround(F.avg("terms"), 4).alias("mean_terms"), F.median("terms").alias("median_terms"))
 
 
-def top_papers(noise: DataFrame, k: int = 10, least: int = 5) -> DataFrame:
+def top_papers(noise: DataFrame, k: int = 10, least: int = NOISY) -> DataFrame:
     """The ``k`` papers with the most passages of at least ``least`` commands; ties go to the smaller id."""
     return noise.where(F.col("commands") >= least).groupBy(F.substring_index("passage_id", "_", 1).alias("paper")).agg(F.count("*").alias("passages")).orderBy(F.desc("passages"), "paper").limit(k)
 

@@ -50,13 +50,13 @@ def quota_rows(spine: DataFrame, limit: int) -> DataFrame:
     return spine.select("idx", "month", F.element_at(F.create_map(*[F.lit(x) for kv in q.items() for x in kv]), F.col("month")).alias("quota"))
 
 
-def monthly_predicate(year: int, month: int) -> Column:
+def monthly_predicate(year: int, month: int, categories: tuple[str, ...] = tuple(CATEGORIES), phrase: str = PHRASE) -> Column:
     """The monthly search as a filter on entries: a category, the phrase in title or summary, and the month."""
     start = f"{year:04d}-{month:02d}-01"
     day = F.try_to_date(F.substring("published", 1, 10), "yyyy-MM-dd")
-    topic = F.arrays_overlap("categories", F.array(*map(F.lit, CATEGORIES)))
-    phrase = F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit(PHRASE)) | F.contains(F.lower(F.coalesce("summary", F.lit(""))), F.lit(PHRASE))
-    return topic & phrase & (day >= F.lit(start).cast("date")) & (day <= F.last_day(F.lit(start).cast("date")))
+    topic = F.arrays_overlap("categories", F.array(*map(F.lit, categories)))
+    said = F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit(phrase)) | F.contains(F.lower(F.coalesce("summary", F.lit(""))), F.lit(phrase))
+    return topic & said & (day >= F.lit(start).cast("date")) & (day <= F.last_day(F.lit(start).cast("date")))
 
 
 @dataclass

@@ -354,7 +354,7 @@ def latex_noise_papers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def truncation_summary(spark: SparkSession, d: str) -> DataFrame:
-    return quality.truncation(passages(spark, d, "type", "content"), limit=150)
+    return quality.truncation(passages(spark, d, "type", "content"))
 
 
 @query
@@ -387,10 +387,8 @@ def monthly_breakdown(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def monthly_search(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "papers")
-    day = F.try_to_date(F.substring("published", 1, 10), "yyyy-MM-dd")
-    march = (day >= F.lit("2024-03-01").cast("date")) & (day <= F.last_day(F.lit("2024-03-01").cast("date")))
-    return p.where(F.arrays_overlap("categories", F.array(F.lit("cs.CL"), F.lit("cs.IR"))) & march).select("arxiv_id", "published").distinct()
+    """One month of the tables' own categories (the month and the phrase are the feature)."""
+    return table(spark, d, "papers").where(sampling.monthly_predicate(2024, 5, ("xx.RET", "xx.TXT"), "retriev")).select("arxiv_id", "published").distinct()
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -436,10 +434,6 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "events", F.round("value", 4).alias("value"))
 
 
-def self_query_places(n: int) -> list[int]:
-    return sorted(random.Random(SEED).sample(range(n), min(SELF_QUERIES, n)))
-
-
 def queries() -> dict[str, Query]:
     return dict(_ALL)
 

@@ -82,8 +82,15 @@ _BLOCKS = f"""(select arxiv_id, s - 1 s, sec.section_id section_id, b - 1 b, blk
     select arxiv_id, s, sec, unnest(sec.blocks) blk, unnest(range(1, len(sec.blocks) + 1)) b from (select arxiv_id, unnest(sections) sec, unnest(range(1, len(sections) + 1)) s from {PP})))"""
 _NOISE = f"""(select passage_id, len(regexp_extract_all(content, '{T.COMMAND}')) commands, len({tokens('content')}) terms, len({tokens(clean_strict('content'))}) terms_clean, len({words('content')}) words
     from {P} where type = 'text' and content is not null)"""
-_SRC = f"(select arxiv_id, section_id, s, b, unnest({grams('w')}) g from (select *, {words('lower(content)')} w from {_BLOCKS} where type = 'text' and content is not null and section_id is not null))"
-_GOT = f"(select passage_id, arxiv_id, section_id, unnest({grams('w')}) g from (select *, {words('lower(content)')} w from {P} where type = 'text' and content is not null and section_id is not null))"
+def _unmarked(x: str) -> str:
+    return f"replace(coalesce({x}, ''), '[EQUATION]', '')"
+
+
+_SECTIONS = f"""(select arxiv_id, sec.section_id section_id, sec, s from (select arxiv_id, unnest(sections) sec, unnest(range(1, len(sections) + 1)) s from {PP}))"""
+_SRC = f"(select arxiv_id, section_id, s, b, unnest({grams('w')}) g from (select *, {words(_unmarked('content'))} w from {_BLOCKS} where type = 'text'))"
+_GOT = f"(select passage_id, arxiv_id, section_id, unnest({grams('w')}) g from (select *, {words("coalesce(content, ' ')")} w from {P} where type = 'text'))"
+_OWN = f"""(select arxiv_id, section_id, unnest({grams('w')}) g from (select arxiv_id, section_id, {words("array_to_string(list_transform(list_filter(sec.blocks, lambda x: x.type in ('text', 'equation')), lambda x: " + _unmarked('x.content') + "), ' ')")} w
+    from {_SECTIONS} qualify row_number() over (partition by arxiv_id, section_id order by s desc) = 1))"""
 _SPINE = "(select row_number() over (order by d) - 1 idx, strftime(d, '%Y-%m') as month from unnest(generate_series(date '2024-01-01', date '2025-12-01', interval 1 month)) t(d))"
 _QUOTA = f"(select idx::int idx, month, (12 + case when idx < 12 then 1 else 0 end)::int quota from {_SPINE})"
 _TAGS = ", ".join(f"'{t}'" for t in T.TAGS)
@@ -126,12 +133,12 @@ def queries() -> dict[str, str]:
             f as (select doc_id, 1::bigint i, 0 chunk, w::bigint size from u where i = 1 union all
               select u.doc_id, u.i, f.chunk + case when f.size >= 250 or f.size > 0 and f.size + u.w > 350 then 1 else 0 end, case when f.size >= 250 or f.size > 0 and f.size + u.w > 350 then u.w else f.size + u.w end from f join u on u.doc_id = f.doc_id and u.i = f.i + 1)
             select doc_id, chunk::int "no", sum(w)::int words, string_agg(t, ' ' order by i) chunk from (select f.doc_id, f.i, f.chunk, u.t, u.w from f join u using (doc_id, i)) group by doc_id, chunk""",
-        "chunk_papers_errors": "select ''::varchar passage_id, 0 errors where false",
         "chunk_report": f"""select type, count(*) passages, count(*) filter (word_count < 60) short, count(*) filter (word_count > 350) long, min(word_count) least, max(word_count) most, round_even(avg(word_count), 1) mean, median(word_count) median,
             list_sort(list(word_count))[(count(*) * 0.25)::double::int + case when (count(*) * 0.25)::double::int > count(*) * 0.25 then 0 else 1 end] p25, list_sort(list(word_count))[floor(count(*) * 0.75)::int + 1] p75, list_sort(list(word_count))[floor(count(*) * 0.95)::int + 1] p95 from {P} where word_count is not null group by type""",
-        "chunk_isolation": f"""select passage_id, (bad_section::int + bad_range::int)::int errors from (select passage_id, coalesce(n is null or section_id = '' or section_id is null or contains(section_id, ' > '), true) bad_section,
-            not coalesce(len(block_range) = 2 and block_range[1] >= 0 and block_range[1] <= block_range[2] and block_range[2] < n, false) bad_range
-            from {P} p left join (select arxiv_id, sec.section_id section_id, max(len(sec.blocks)) n from (select arxiv_id, unnest(sections) sec from {PP}) where sec.section_id is not null group by all) x using (arxiv_id, section_id)) where bad_section or bad_range""",
+        "chunk_isolation": f"""select passage_id, (bad_section::int + bad_range::int)::int errors from (select passage_id, n is null or coalesce(p.section_id, '') = '' or contains(p.section_id, ' > ') bad_section,
+            n is not null and not coalesce(len(block_range) = 2 and block_range[1] >= 0 and block_range[1] <= block_range[2] and block_range[2] < n, false) bad_range
+            from {P} p left join (select arxiv_id, section_id, coalesce(len(sec.blocks), 0) n from {_SECTIONS} qualify row_number() over (partition by arxiv_id, section_id order by s) = 1) x
+            on p.arxiv_id = x.arxiv_id and p.section_id is not distinct from x.section_id) where bad_section or bad_range""",
         "contextual_text": f"select passage_id, 'Document: ' || title || chr(10) || 'Section: ' || section_path || chr(10) || chr(10) || content contextual, 'https://arxiv.org/html/' || arxiv_id || '#' || section_id url from {P}",
         "equation_threshold": f"select arxiv_id, s::int s, b::int b, case when len(content) - 4 > 200 then '[EQUATION]' else content end shown from {_BLOCKS} where type = 'equation'",
         "dup_ids": "select arxiv_id, count(*) - 1 repeats from papers group by arxiv_id having count(*) > 1",
@@ -145,22 +152,26 @@ def queries() -> dict[str, str]:
             q as (select list_transform([1, 3], lambda i: (x[least(greatest(i * (n + 1) // 4, 1), n - 1)] * (4 - (i * (n + 1) - 4 * least(greatest(i * (n + 1) // 4, 1), n - 1))) + x[least(greatest(i * (n + 1) // 4, 1), n - 1) + 1] * (i * (n + 1) - 4 * least(greatest(i * (n + 1) // 4, 1), n - 1))) / 4) v from l where n >= 2)
             select arxiv_id, tables, greatest(1, trunc(v[2] + 1.0 * (v[2] - v[1]))::int)::int threshold from r, q where tables >= greatest(1, trunc(v[2] + 1.0 * (v[2] - v[1]))::int)""",
         "ngram8_coverage": f"""select sum(c)::bigint source, sum(least(c, coalesce(d, 0)))::bigint covered, round_even(sum(least(c, coalesce(d, 0))) * 100.0::double / sum(c), 4) percent
-            from (select arxiv_id, section_id, s, b, g, count(*) c from {_SRC} group by all) left join (select arxiv_id, section_id, g, count(*) d from {_GOT} group by all) using (arxiv_id, section_id, g)""",
-        "ngram8_leaks": f"""select passage_id, count(*) leaks from (select distinct passage_id, arxiv_id, section_id, g from {_GOT}) o anti join (select distinct arxiv_id, section_id, g from {_SRC}) x using (arxiv_id, section_id, g)
-            semi join (select distinct arxiv_id, g from {_SRC}) y on o.arxiv_id = y.arxiv_id and o.g = y.g group by passage_id""",
+            from (select arxiv_id, section_id, s, b, g, count(*) c from {_SRC} group by all) x left join (select arxiv_id, section_id, g, count(*) d from {_GOT} group by all) y on x.arxiv_id = y.arxiv_id and x.section_id is not distinct from y.section_id and x.g = y.g""",
+        "ngram8_leaks": f"""with own as (select distinct * from {_OWN}), got as (select g.* from {_GOT} g where exists (select 1 from {_SECTIONS} x where x.arxiv_id = g.arxiv_id and x.section_id is not distinct from g.section_id))
+            select passage_id, count(*)::bigint leaks from got where not exists (select 1 from own where own.arxiv_id = got.arxiv_id and own.section_id is not distinct from got.section_id and own.g = got.g)
+            and exists (select 1 from own where own.arxiv_id = got.arxiv_id and own.g = got.g and own.section_id is distinct from got.section_id) group by passage_id""",
         "size_buckets": f"select count(*) passages, count(*) filter (coalesce(word_count, 0) < 60) small, count(*) filter (coalesce(word_count, 0) < 20) tiny, count(*) filter (coalesce(word_count, 0) > 350) large from {P}",
         "latex_noise": f"select passage_id, commands::int commands, terms::int terms, terms_clean::int terms_clean, words::int words from {_NOISE}",
-        "latex_noise_stats": f"select count(*) passages, median(commands) p50, quantile_cont(commands, 0.9) p90, quantile_cont(commands, 0.99) p99, count(*) filter (commands > 10) over10, count(*) filter (commands > 10 and words > 200) over10_long from {_NOISE}",
-        "latex_noise_groups": f"select commands >= 1 noisy, count(*) passages, round_even(median(terms / words), 6) ratio, round_even(avg(terms), 4) mean_terms, median(terms) median_terms from {_NOISE} where words > 0 group by 1",
-        "latex_noise_papers": f"select string_split(passage_id, '_')[1] paper, count(*) passages from {_NOISE} where commands >= 5 group by 1 order by 2 desc, 1 limit 10",
-        "truncation_summary": f"select type, count(*) total, count(*) filter (n > 150) truncated, round_even(count(*) filter (n > 150) * 100.0::double / count(*), 2) percent from (select type, len({tokens(clean('content'))}) n from {P}) group by type",
+        "latex_noise_stats": f"""select count(*) passages, median(commands) p50, quantile_cont(commands, 0.9) p90, quantile_cont(commands, 0.99) p99, count(*) filter (commands >= 20) noisy, round_even(count(*) filter (commands >= 20) * 100.0::double / count(*), 2) noisy_percent,
+            count(*) filter (commands >= 50) very_noisy, round_even(count(*) filter (commands >= 50) * 100.0::double / count(*), 2) very_noisy_percent, count(*) filter (terms > 512) long, count(*) filter (terms > 512 and commands >= 20) long_noisy,
+            count(*) filter (terms_clean > 512) long_clean, max(terms)::int most, max(terms_clean)::int most_clean from {_NOISE}""",
+        "latex_noise_groups": f"select commands >= 20 noisy, count(*) passages, round_even(median(terms / greatest(words, 1)), 6) ratio, round_even(avg(terms), 4) mean_terms, median(terms) median_terms from {_NOISE} group by 1",
+        "latex_noise_papers": f"select string_split(passage_id, '_')[1] paper, count(*) passages from {_NOISE} where commands >= 20 group by 1 order by 2 desc, 1 limit 10",
+        "truncation_summary": f"select type, count(*) total, count(*) filter (n > 512) truncated, round_even(count(*) filter (n > 512) * 100.0::double / count(*), 2) percent from (select type, len({tokens(clean('content'))}) n from {P}) group by type",
         "corpus_stats": f"select count(*) papers, round_even(avg(total_words), 1) mean_words, median(total_words) median_words from {PP}",
         "block_totals": f"select type, sum(n)::bigint blocks from (select unnest(map_keys(block_counts)) as type, unnest(map_values(block_counts)) n from {PP}) group by type",
         "month_quotas": f"select * from {_QUOTA}",
         "month_quotas_small": f"select idx::int idx, month, (idx in (select floor(i * (24.0::double / 7))::int from range(7) t(i)))::int quota from {_SPINE}",
         "monthly_breakdown": f"""select month, quota target, coalesce(a, 0) achieved, coalesce(k, 0) skipped, case when coalesce(a, 0) >= quota then 'reached' else 'short by ' || (quota - coalesce(a, 0)) end status from {_QUOTA}
             left join (select month_stratum as month, count(*) a from {PP} group by 1) using (month) left join (select month_stratum as month, count(*) k from skipped_papers group by 1) using (month)""",
-        "monthly_search": "select distinct arxiv_id, published from papers where list_has_any(categories, ['cs.CL', 'cs.IR']) and try_cast(published[1:10] as date) between date '2024-03-01' and date '2024-03-31'",
+        "monthly_search": """select distinct arxiv_id, published from papers where list_has_any(categories, ['xx.RET', 'xx.TXT']) and (contains(lower(coalesce(title, '')), 'retriev') or contains(lower(coalesce(summary, '')), 'retriev'))
+            and try_cast(published[1:10] as date) between date '2024-05-01' and date '2024-05-31'""",
         "resume_anti_join": "select distinct arxiv_id from papers anti join parsed_papers using (arxiv_id)",
         "processed_months": "select month_stratum as month, count(distinct arxiv_id) papers from parsed_papers group by 1",
         "text_fingerprints": "select doc_id, sha256(text) sha256 from documents",

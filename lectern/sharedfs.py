@@ -1,8 +1,9 @@
 """Cutting lineage with tables written to the folder that all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``. Only where that setting is
-absent (tests, single-machine use) a folder of its own is made, once per session,
-and removed when the process ends.
+absent and all work is done in one process (a local master, as in tests) a folder of
+its own is made, once per session, and removed when the process ends; on a cluster
+that is an error, as each executor would write to a folder that no other one sees.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if given:
         return f"{given.rstrip('/')}/lectern-{app}"
     if app not in _OWN:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="lectern-")
         atexit.register(shutil.rmtree, own, True)
         _OWN[app] = "file://" + own

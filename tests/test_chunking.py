@@ -90,7 +90,14 @@ def test_chunk_papers(spark):
 def test_isolation_errors(spark):
     p = paper(spark, [sec("S1", "One", ("text", "a"))])
     bad = spark.createDataFrame([("x", "2401.1v2", "S1", [0, 0]), ("y", "2401.1v2", "S2", [0, 0]), ("z", "2401.1v2", "S1", [1, 0]), ("n", "2401.1v2", None, None)], "passage_id string, arxiv_id string, section_id string, block_range array<int>")
-    assert {r["passage_id"]: r["errors"] for r in C.isolation_errors(bad, p).collect()} == {"y": 2, "z": 1, "n": 2}
+    assert {r["passage_id"]: r["errors"] for r in C.isolation_errors(bad, p).collect()} == {"y": 1, "z": 1, "n": 1}
+
+
+def test_isolation_takes_the_first_of_repeated_sections(spark):
+    p = paper(spark, [sec("S1", "One", ("text", "a")), sec("S1", "Again", ("text", "a"), ("text", "b")), sec(None, "None", ("text", "a")), sec("A > B", "Path", ("text", "a"))])
+    rows = [("first", "S1", [0, 0]), ("beyond", "S1", [0, 1]), ("null", None, [0, 0]), ("null range", None, [0, 5]), ("path", "A > B", [1, 1]), ("short", "S1", [0]), ("negative", "S1", [-1, 0]), ("null element", "S1", [0, None])]
+    bad = spark.createDataFrame([(k, "2401.1v2", s, r) for k, s, r in rows], "passage_id string, arxiv_id string, section_id string, block_range array<int>")
+    assert {r["passage_id"]: r["errors"] for r in C.isolation_errors(bad, p).collect()} == {"beyond": 1, "null": 1, "null range": 2, "path": 2, "short": 1, "negative": 1, "null element": 1}
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 20])
