@@ -28,7 +28,7 @@ CENTROIDS = 1 << 16
 #: A vector probes the lists whose centroids are at most this much less similar than the nearest one, and at most so many.
 GAP, PROBES = 0.2, 8
 #: Columns of a block, and how many deviations a partial distance must be beyond the threshold.
-BLOCK, SIGMA = 32, 2.3
+BLOCK, SIGMA = 32, 3.0
 #: Candidates of a query up to which they are followed one by one.
 MANY = 24
 #: Members of a list that one task compares; longer lists are split into parts of so many.
