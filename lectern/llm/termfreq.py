@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 import unicodedata
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -17,8 +22,8 @@ from ..operators.distinct import distinct_by
 RARE, COMMON = 3, 0.25
 #: Rows of partial counts in a partition before it is split further, and terms kept by a task before they are passed on.
 PARTITION_ROWS, HELD = 150_000, 400_000
-#: Bits of the first partitioning, and the memory of each aggregation.
-BITS, MEMORY = 10, "300MB"
+#: Bits of the first partitioning and of each further one, partitions at most, and the memory of each aggregation.
+BITS, MORE_BITS, PARTITIONS, MEMORY = 10, 6, 50_000, "300MB"
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -61,40 +66,82 @@ def partial_counts(df: DataFrame, fields: list[str], held: int = HELD) -> DataFr
     return df.select(*[F.col(f) for f in names]).mapInArrow(count, "field string, term string, occurrences bigint, passages bigint")
 
 
+def radix_ranges(count: Callable[[int, list[int] | None, int], dict[int, int]], most: int, bits: int = BITS, more: int = MORE_BITS) -> list[int]:
+    """The first hash of each partition, in order, as unsigned 64-bit numbers.
+
+    ``count(bits, prefixes, parent)`` gives the rows by their hash's first ``bits``
+    bits, of all or of those whose first ``parent`` bits are among ``prefixes``.
+    Prefixes with more than ``most`` rows are counted by ``more`` further bits, and
+    so on until none is too large or a single hash is left; neighbouring small ones
+    are put together.
+    """
+    sizes = [(p << (64 - bits), n) for p, n in count(bits, None, 0).items() if n <= most]
+    large, at = [p for p, n in count(bits, None, 0).items() if n > most], bits
+    while large:
+        deeper = min(64, at + more)
+        found = count(deeper, large, at)
+        large, at = [p for p, n in found.items() if n > most and deeper < 64], deeper
+        sizes += [(p << (64 - deeper), n) for p, n in found.items() if n <= most or deeper == 64]
+    starts, used = [0], 0
+    for first, n in sorted(sizes):
+        if used and used + n > most:
+            starts.append(first)
+            used = 0
+        used += n
+    return starts
+
+
+def scratch(folder: str) -> str:
+    """Where a task's DuckDB may spill: the shared folder if that is a path, else one of the folders to which Spark itself spills.
+
+    What is spilled is of use to the same task only and is removed by it.
+    """
+    if folder.startswith(("file://", "/")):
+        return folder.removeprefix("file://")
+    for name in ("LOCAL_DIRS", "SPARK_EXECUTOR_DIRS", "SPARK_LOCAL_DIRS"):
+        if given := os.environ.get(name):
+            return re.split(f"[,{os.pathsep}]", given)[0]
+    return os.getcwd()
+
+
 def radix_sum(partial: DataFrame, most: int = PARTITION_ROWS, bits: int = BITS, memory: str = MEMORY) -> DataFrame:
     """Sums of ``partial`` by field and term, each partition of hash bits by DuckDB in bounded memory.
 
-    ``partial`` is read twice: first the rows of each of the ``2**bits`` partitions
-    are counted; partitions with more than ``most`` rows are split by as many
-    further bits as they need. The partitions go to disk with Spark's shuffle, and
-    DuckDB spills what exceeds its memory to the shared folder.
+    Only the hashes ``h`` of the terms are read to count the partitions, first all
+    by ``bits`` bits, then again and again those with more than ``most`` rows by
+    further bits. Each partition goes to disk with Spark's shuffle, is one task, and
+    DuckDB spills what exceeds its memory.
     """
     spark = partial.sparkSession
-    h = F.xxhash64("term")
-    top = F.shiftrightunsigned(h, 64 - bits)
-    keyed = partial.where(F.col("term").isNotNull()).withColumn("top", top.cast("int"))
-    sizes = {r[0]: r[1] for r in keyed.groupBy("top").count().collect()}  # at most 2**bits rows
-    deeper = {t: (n // most).bit_length() for t, n in sizes.items() if n > most}
-    # neighbouring small partitions are aggregated together
-    unit, used, ids = 0, 0, {}
-    for t in range(1 << bits):
-        n = sizes.get(t, 0)
-        if used and used + n > most:
-            unit, used = unit + 1, 0
-        ids[t] = unit
-        used += n
-    sub = F.lit(0)
-    for extra in sorted(set(deeper.values())):
-        sub = F.when(F.col("top").isin([t for t, e in deeper.items() if e == extra]), F.shiftrightunsigned(h, 64 - bits - extra) % (1 << extra)).otherwise(sub)
-    unit_of = F.get(F.array(*[F.lit(ids[t]) for t in range(1 << bits)]), F.col("top"))
+    keyed = partial.where(F.col("term").isNotNull())
+    seen: dict[int, int] = {}
+
+    def count(n: int, prefixes: list[int] | None, parent: int) -> dict[int, int]:
+        if prefixes is None and seen:
+            return seen
+        h = F.col("h")
+        rows = keyed.select("h")
+        if prefixes is not None:
+            wanted = F.broadcast(spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prefixes], "p bigint"))  # at most PARTITIONS
+            rows = rows.join(wanted, F.shiftrightunsigned(h, 64 - parent) == F.col("p"), "left_semi") if parent < 64 else rows.join(wanted, h == F.col("p"), "left_semi")
+        prefix = F.shiftrightunsigned(h, 64 - n) if n < 64 else h
+        found = {r[0] % (1 << 64): r[1] for r in rows.groupBy(prefix.alias("p")).count().collect()}  # 2**bits rows, or 2**MORE_BITS for each prefix
+        if prefixes is None:
+            seen.update(found)
+        return found
+
+    most = max(most, sum(count(bits, None, 0).values()) // PARTITIONS)
+    starts = np.array(radix_ranges(count, most, bits), np.uint64)
     folder = shared_dir(spark)
-    temp = folder[len("file://") :] if folder.startswith("file://") else folder if folder.startswith("/") else ""
-    total = unit + 1 + sum(1 << e for e in deeper.values())
-    parts = keyed.withColumn("unit", unit_of).withColumn("sub", sub.cast("int")).repartition(max(1, min(total, 100_000)), "unit", "sub").select("field", "term", "occurrences", "passages")
 
-    def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            unit = np.searchsorted(starts, b.column("h").to_numpy().view(np.uint64), "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), *(b.column(c) for c in ("field", "term", "occurrences", "passages"))], names=["unit", "field", "term", "occurrences", "passages"])
 
+    parts = keyed.mapInArrow(route, "unit int, field string, term string, occurrences bigint, passages bigint").repartitionById(len(starts), "unit").drop("unit")
+
+    def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
         first = next(batches, None)
@@ -105,16 +152,18 @@ def radix_sum(partial: DataFrame, most: int = PARTITION_ROWS, bits: int = BITS,
             yield first
             yield from batches
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": f"{temp}/duckdb-{uuid.uuid4().hex}" if temp else "", "preserve_insertion_order": False})
+        spill = f"{scratch(folder)}/duckdb-{uuid.uuid4().hex}"
+        con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": spill, "preserve_insertion_order": False})
         try:
             incoming = pa.RecordBatchReader.from_batches(first.schema, stream())
             con.register("incoming", incoming)
-            done = con.execute("select field, term, sum(occurrences)::bigint occurrences, sum(passages)::bigint passages from incoming group by field, term").to_arrow_reader(50_000)
+            done = con.sql("select field, term, sum(occurrences)::bigint occurrences, sum(passages)::bigint passages from incoming group by field, term").to_arrow_reader(50_000)
             for b in done:
                 if b.num_rows:
                     yield b
         finally:
             con.close()
+            shutil.rmtree(spill, ignore_errors=True)
 
     return parts.mapInArrow(aggregate, "field string, term string, occurrences bigint, passages bigint")
 
@@ -128,7 +177,7 @@ def term_statistics(df: DataFrame, key: str = "passage_id", fields: tuple[str, .
     hold, else null. Null and empty texts have no terms; an empty table gives no
     rows; other columns are ignored.
     """
-    partial = written(partial_counts(distinct_by(df.select(key, *fields), key), list(fields)), "terms")
+    partial = written(partial_counts(distinct_by(df.select(key, *fields), key), list(fields)).withColumn("h", F.xxhash64("term")), "terms")
     n = {r[0]: r[1] for r in partial.where("term is null").groupBy("field").agg(F.sum("passages")).collect()}
     limit = F.lit(None).cast("double")
     for f in fields:

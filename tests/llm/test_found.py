@@ -232,6 +232,35 @@ def test_terms_are_kept_in_bounded_numbers(spark):
     assert {r["term"]: r["p"] for r in many}["t3"] == 14
 
 
+def test_partitions_are_split_until_they_fit():
+    rng = np.random.default_rng(5)
+    h = np.concatenate([rng.integers(0, 1 << 64, 3000, dtype=np.uint64), rng.integers(0, 1 << 40, 2000, dtype=np.uint64), np.full(500, 77, np.uint64), np.full(400, (1 << 64) - 1, np.uint64)])
+    rounds = []
+
+    def count(bits, prefixes, parent):
+        rounds.append(bits)
+        x = h if prefixes is None else h[np.isin(h >> np.uint64(64 - parent), np.array(prefixes, np.uint64))]
+        p, n = np.unique(x >> np.uint64(64 - bits), return_counts=True)
+        return dict(zip(p.tolist(), n.tolist()))
+
+    starts = np.array(termfreq.radix_ranges(count, 50, bits=4, more=5), np.uint64)
+    assert starts[0] == 0 and (np.diff(starts.astype(object)) > 0).all() and max(rounds) == 64
+    unit = np.searchsorted(starts, h, "right") - 1
+    for u in np.unique(unit):
+        own = h[unit == u]
+        assert len(own) <= 50 or len(np.unique(own)) < 50
+    assert len(starts) < len(h) / 20
+
+
+def test_partitions_larger_than_memory_are_spilled(spark, monkeypatch):
+    many = spark.range(400_000, numPartitions=2).select(F.lit("content").alias("field"), F.concat(F.lit("some-long-term-"), F.sha2(F.col("id").cast("string"), 256)).alias("term"), F.lit(1).cast("bigint").alias("occurrences"), F.lit(1).cast("bigint").alias("passages"))
+    twice = many.unionByName(many).withColumn("h", F.xxhash64("term"))
+    got = termfreq.radix_sum(twice, most=10**9, memory="40MB").agg(F.count("*"), F.sum("occurrences"), F.min("passages")).first()
+    assert tuple(got) == (400_000, 800_000, 2)
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", "/one,/two")
+    assert termfreq.scratch("hdfs://x/y") == "/one" and termfreq.scratch("file:///tmp/z") == "/tmp/z"
+
+
 # 4: vectors
 
 
