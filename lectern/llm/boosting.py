@@ -34,7 +34,7 @@ class Boosted:
             for k in range(first, first + (1 << d)):
                 at = np.flatnonzero(node == k)
                 best = 1e-6
-                if len(at) > 8:
+                if len(at) > 2:
                     gs, hs = g[at], h[at]
                     whole = gs.sum() ** 2 / (hs.sum() + self.penalty)
                     for j in range(b.shape[1]):

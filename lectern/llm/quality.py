@@ -14,18 +14,22 @@ from pyspark.sql import functions as F
 from .boosting import Boosted
 from .quality_holdout import HOLDOUT
 
-#: Documents on whose statistics the classifier is trained, about: those with the least hashes of key and text. Never more than twice as many.
-SAMPLE = 4000
+#: Documents whose statistics reach the driver, about: those with the least hashes of key and text. Never more than twice as many.
+SAMPLE = 20_000
+#: Documents of the sample with a weak label of prose that are trained on; of the other kinds, which are fewer, all.
+PROSE = 3_000
 KINDS = ("prose", "list", "table", "junk")
 #: Share of a text that isn't running sentences beyond which its weak label isn't prose.
 SHARE = 0.75
 #: Words among which repeated ones are counted.
 WINDOW = 250
 
-STATISTICS = ("n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "end_mark_share", "short_line_share", "mean_line_length", "words_per_mark", "unique_share", "top_pair_share", "noisy_share", "long_word_share", "prose_share", "list_share", "table_share", "code_share", "bare_share")
+STATISTICS = ("n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "end_mark_share", "short_line_share", "mean_line_length", "words_per_mark", "unique_share", "top_pair_share", "noisy_share", "long_word_share", "separated_share", "bullet_share", "symbol_kinds", "mixed_share", "prose_share", "list_share", "table_share", "code_share", "bare_share")
 
-#: What the classifier sees: not the sizes, as a kind doesn't depend on a text's length.
-FEATURES = [i for i, c in enumerate(STATISTICS) if c not in ("n_chars", "n_words", "n_lines", "mean_line_length")]
+#: What the classifier sees: not the sizes, as a kind doesn't depend on a text's length, and not the shares of kinds of
+#: lines by which the weak labels are made, so that it goes by other evidence where those rules err.
+LABELLED_BY = ("prose_share", "list_share", "table_share", "code_share", "bare_share")
+FEATURES = [i for i, c in enumerate(STATISTICS) if c not in ("n_chars", "n_words", "n_lines", "mean_line_length", *LABELLED_BY)]
 
 _END = re.compile(r"[.!?…。！？।؟][\"”’»“)）」\]]*(?:\[\d+\])?\s*\Z")
 _MARK = re.compile(r"[.!?…।؟](?=[\s\"”’»“)\[]|\Z)|[。！？]")
@@ -41,6 +45,8 @@ _CODE = re.compile(r"\s*(?:def \w+\(|return\b|import \w|from \w+ import|class \w
 _FORMULA = re.compile(r"\\[A-Za-z]+|[_^]\{[^}]*\}")
 _BULLET = re.compile(r"(?:[-*•·‣▪◦–—+]|\(?\d{1,3}[.)]|\[\d{1,4}\]|\(?[a-zA-Z][.)])\s+\S")
 _REFERENCE = re.compile(r"\[\d{1,4}\]\s.*\b(?:1[89]|20)\d\d\b|.*\b(?:Proc|arXiv|doi|vol)\b.*\b(?:1[89]|20)\d\d\b\.?\Z")
+_MIXED = re.compile(r"\d[A-Za-z]|[A-Za-z]\d")
+_WIDE = re.compile(r"\S {2,}(?=\S)")
 _PAIR = re.compile(r"[^:：.!?]{1,60}[:：] ?\S+(?: \S+){0,3}\Z")
 _NOISY = re.compile(r"(?<=[A-Za-zÀ-ɏ])[|\d¤¦©®€£¥§�]+(?=[a-zà-ɏ])|[¤¦©®€�]")
 _BLOB = re.compile(r"(?=\S*\d)(?=\S*[a-z])[A-Za-z0-9+/=_-]{20,}\Z")
@@ -94,6 +100,8 @@ def _line_kind(line: str, words: list[str], common: float) -> str:
         return "prose"
     if _HEX.match(line) or _LOG.match(line):
         return "code"
+    if _counts(line)[0] > 0.5 * n and len(set(line)) > 12 and sum(map(str.isalnum, line)) < 0.2 * n:  # signs without cells
+        return "code"
     # white space between cells; pipes; ampersands of LaTeX rows; commas without spaces
     if line.count("|") >= 2 and (line[0] == "|" or line.count(" | ") >= 2) or "\t" in line and common < 0.2 or line.endswith("\\\\") and "&" in line or line.count(" & ") >= 2 and common < 0.1:
         return "table"
@@ -123,10 +131,13 @@ def statistics(text: str, common: Common) -> list[float]:
     size = dict.fromkeys(("prose", "list", "table", "code", "bare"), 0)
     words: list[str] = []
     before, ends, short, run, weight = "", 0, 0, 0, 0.0
+    separated = bullets = 0
     for raw in lines:
         line = (_QUOTE.sub("", raw, count=1) if raw.lstrip()[:1] == ">" else raw).strip()
         if not line:
             continue
+        separated += any(raw.count(c) > 1 for c in (",", ";", "|", "\t", "&")) or len(_WIDE.findall(line)) > 1
+        bullets += bool(_BULLET.match(line))
         low = line.lower()
         own = _words(low)
         words += own
@@ -159,6 +170,8 @@ def statistics(text: str, common: Common) -> list[float]:
         float(n), float(w), float(len(lines)), sum(map(len, words)) / w if w else 0.0, symbols / max(1, dense), digits / max(1, dense),
         weight / w if w else 0.0, ends / len(lines), short / len(lines), sum(map(len, lines)) / len(lines), w / (marks + 1), unique / w if w else 0.0,
         pair / w if w else 0.0, noisy / max(1, len(chunks)), len([c for c in chunks if len(c) > 30]) / len(chunks),
+        separated / len(lines), bullets / len(lines), float(len({c for c in text if not (c.isalnum() or c.isspace())})),
+        len([c for c in chunks if not c.isalpha() and _MIXED.search(c)]) / len(chunks),
         size["prose"] / total, size["list"] / total, size["table"] / total, size["code"] / total, size["bare"] / total,
     ]
 
@@ -179,18 +192,16 @@ def weak_label(s: list[float]) -> str | None:
     return "prose" if v["prose_share"] > 1 - SHARE + 0.03 else None
 
 
-def train(texts: list[str], common: Common) -> Boosted:
-    """Gradient-boosted trees on the weakly labelled statistics, their probabilities calibrated on the hand-checked holdout."""
-    x, y = [], []
-    for t in texts:
-        s = statistics(t, common)
-        if (label := weak_label(s)) is not None:
-            x.append(s)
-            y.append(KINDS.index(label))
-    # the holdout isn't trained on
-    model = Boosted(len(KINDS)).fit(np.array(x).reshape(-1, len(STATISTICS))[:, FEATURES], np.array(y, int))
-    hold = np.array([statistics(t, common) for t, _ in HOLDOUT])[:, FEATURES]
-    return model.calibrate(hold, np.array([KINDS.index(k) for _, k in HOLDOUT]))
+def train(seen: np.ndarray, common: Common) -> Boosted:
+    """Gradient-boosted trees on statistics, a row for each document, with weak labels; their probabilities are calibrated on
+    half of the hand-checked holdout, none of which is trained on."""
+    labels = [weak_label(list(s)) for s in seen]
+    prose = [i for i, k in enumerate(labels) if k == "prose"][:PROSE]
+    used = prose + [i for i, k in enumerate(labels) if k not in (None, "prose")]
+    x = seen[used].reshape(-1, len(STATISTICS))
+    model = Boosted(len(KINDS), rounds=60, depth=4, rate=0.2).fit(x[:, FEATURES], np.array([KINDS.index(labels[i]) for i in used], int))
+    half = HOLDOUT[::2]
+    return model.calibrate(np.array([statistics(t, common) for t, _ in half])[:, FEATURES], np.array([KINDS.index(k) for _, k in half]))
 
 
 def quality_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -208,12 +219,20 @@ def quality_statistics(docs: DataFrame, common_words: DataFrame, key: str = "doc
         raise ValueError("more than 20,000 common words")
     common = Common(sorted(words))
     t = F.col(text)
-    # rows whose hash is below a bound that about ``sample`` rows are: no more than these reach the driver
+    numbers = ", ".join(f"{c} double" for c in STATISTICS)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.array([statistics(x, common) for x in b.column("t").to_pylist()]).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([b.column("h"), *map(pa.array, rows.T)], names=["h", *STATISTICS])
+
+    # rows whose hash is below a bound that about ``sample`` rows are: their numbers, not their texts, reach the driver
     real = docs.select(t.alias("t"), F.xxhash64(key, t).alias("h")).where(t.isNotNull() & (F.length(F.trim(t)) > 0))
     n = real.count()
     bound = int(-(1 << 63) + (1 << 64) * min(1.0, sample / max(1, n)))
-    seen = [r[0] for r in real.where(F.col("h") <= min(bound, (1 << 63) - 1)).limit(2 * sample).orderBy("h", "t").collect()]
-    shared = spark.sparkContext.broadcast((common, train(seen, common) if seen else None))
+    rows = real.where(F.col("h") <= min(bound, (1 << 63) - 1)).mapInArrow(describe, f"h bigint, {numbers}").limit(2 * sample).collect()
+    seen = np.array([r[1:] for r in sorted(map(tuple, rows))]).reshape(-1, len(STATISTICS))
+    shared = spark.sparkContext.broadcast((common, train(seen, common) if len(seen) else None))
     kind = docs.schema[key].dataType.simpleString()
     columns = ", ".join(f"{c} double" for c in STATISTICS)
 

@@ -538,14 +538,31 @@ def test_kinds(spark, common):
     assert quality.quality_statistics(df.limit(0).select("doc_id", "text"), common).count() == 0
 
 
-def test_holdout_accuracy():
-    words_ = "the of and a to in is that it for on with as we this by are be when not or each at from because so was which der die das und in den von zu mit ist nicht ein eine es dass auf für wir le la les de des un une et est que dans pour el los y en se no con 的 了 在 和 不 能 は を が の と に この и в не на что мы для यह है हैं को के और हर हम कि ที่ ใน และ ไม่ จะ ของ في كل إن أن حتى لا ثم هل".split()
-    c = quality.Common(words_)
-    texts = [t for s in range(80) for _, t in _texts(s)]
-    m = quality.train(texts, c)
-    hold = np.array([quality.statistics(t, c) for t, _ in quality.HOLDOUT])
+def test_holdout_accuracy(spark):
+    folder = "/root/testdata/sf0.1"
+    c = quality.Common([r[0] for r in spark.read.parquet(f"{folder}/common_words.parquet").select("word").collect()])
+    texts = [r[0] for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").where("text is not null and trim(text) <> ''").orderBy("doc_id").limit(4000).collect()]
+    m = quality.train(np.array([quality.statistics(t, c) for t in texts]), c)
+    # the half on which the probabilities aren't calibrated
+    half = quality.HOLDOUT[1::2]
+    hold = np.array([quality.statistics(t, c) for t, _ in half])
     got = [quality.KINDS[i] for i in m.probabilities(hold[:, quality.FEATURES]).argmax(1)]
-    assert np.mean([g == k for g, (_, k) in zip(got, quality.HOLDOUT)]) > 0.7
+    assert np.mean([g == k for g, (_, k) in zip(got, half)]) >= 0.85
+    assert not {quality.STATISTICS[i] for i in quality.FEATURES} & set(quality.LABELLED_BY)
+
+
+#: Documents of sf0.1 read by hand, among them all on which trees without the rules' shares disagreed with the rules.
+HAND = {
+    "junk": (119, 331, 424, 638, 959, 1498, 1628, 1684, 1986, 2159, 2580, 2675, 3113, 4019, 4486, 4555, 5346, 5491, 5988, 6084, 6384, 6492, 6499, 6547, 6809, 7022, 7211, 7212, 7591, 8039, 8118, 8189, 8914, 9430, 820, 894, 1725, 5888, 8961),
+    "table": (758,), "list": (8500,), "prose": (5175, 9926, 4790),
+}
+
+
+def test_hand_checked_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = {r[0]: r[1] for r in quality.quality_statistics(docs.repartition(4), spark.read.parquet(f"{folder}/common_words.parquet")).select("doc_id", "kind").collect()}
+    assert np.mean([got[i] == kind for kind, ids in HAND.items() for i in ids]) > 0.9
 
 
 def test_statistics_of_a_text():
