@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import functions as F
 
 from .functions.htmlparse import parse_pages
-from .operators import bm25, chunking, integrity, quality, sampling
+from .operators import bm25, chunking, dense, evaluation, integrity, quality, retrieval, sampling, vectors
 from .operators.distinct import distinct_by
 from .session import session
 from .sources import readers, sinks
@@ -33,16 +34,17 @@ def ingest(spark, a) -> int:
     papers = taken.drop("rank_in_month", "summary").join(parsed, "arxiv_id")
     sinks.write_papers(papers, f"{a.data_dir}/papers", as_json=a.json, mode="overwrite")
     lost = taken.join(parsed.select("arxiv_id"), "arxiv_id", "left_anti").select("arxiv_id", "title", "month_stratum", F.lit("no page").alias("reason"))
-    sinks.manifest(papers, lost, plan.shortfalls, a.limit).write.mode("overwrite").json(f"{a.data_dir}/manifest")
+    spine = sampling.quota_rows(sampling.month_spine(spark), a.limit)
+    sinks.manifest(papers, lost, plan.shortfalls, a.limit, spine).write.mode("overwrite").json(f"{a.data_dir}/manifest")
     lost.write.mode("overwrite").json(f"{a.data_dir}/skipped")
-    sampling.breakdown(sampling.quota_rows(sampling.month_spine(spark), a.limit), papers, lost).orderBy("month").show(24, truncate=False)
+    sampling.breakdown(spine, papers, lost).orderBy("month").show(24, truncate=False)
     return 0
 
 
 def chunk(spark, a) -> int:
     papers = _papers(spark, a.processed_dir)
     config = chunking.ChunkConfig(a.target_words, a.max_words, a.min_words, a.overlap)
-    sinks.write_passages(chunking.chunk_papers(papers, config), a.output, as_json=not a.output.endswith(".parquet"))
+    sinks.write_passages(chunking.chunk_papers(papers, config), a.output, as_json=not a.output.endswith(".parquet"), ordered=True)
     made = _passages(spark, a.output)
     chunking.report(made, config).show(truncate=False)
     errors = chunking.isolation_errors(made, papers).agg(F.coalesce(F.sum("errors"), F.lit(0))).first()[0]
@@ -65,7 +67,7 @@ def check_corpus(spark, a) -> int:
     for name, f in (("repeated ids", quality.duplicate_ids), ("repeated titles", quality.duplicate_titles), ("short papers", quality.short_papers), ("markup left", quality.residual_markup), ("empty sections or blocks", quality.empty_blocks), ("papers with many tables", quality.table_outliers)):
         rows = f(papers)
         print(f"{name}: {rows.count()}")
-        rows.show(5)
+        (rows.orderBy(F.desc("tables"), "arxiv_id") if "tables" in rows.columns else rows).show(5)
     return 0
 
 
@@ -88,6 +90,41 @@ def search(spark, a) -> int:
     return 0
 
 
+def _queries(spark, texts: list[str]):
+    return spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+
+
+def dense_build(spark, a) -> int:
+    """Make the vectors, going on where an earlier run stopped; the encoder is the one that needs no model."""
+    began = time.perf_counter()
+    passages = _passages(spark, a.passages)
+    made = vectors.build(passages, a.output, field=a.field, limit=a.limit or None, parts=a.parts, prefix=a.prefix, revision=a.revision)
+    vectors.truncation(made, passages).orderBy("type").show()
+    print(f"{made.count()} vectors in {time.perf_counter() - began:.1f} s")
+    return 0
+
+
+def dense_search(spark, a) -> int:
+    """The results of queries by vectors, and what they have in common with those by terms."""
+    passages = _passages(spark, a.passages)
+    q = _queries(spark, a.query)
+    found = retrieval.DenseRetriever.load(a.index, passages).search(q, a.k)
+    found.orderBy("query_id", "rank").select("query_id", "rank", "score", "passage_id", "metadata.title", "metadata.section_path").show(a.k * len(a.query), truncate=60)
+    evaluation.overlap(found, retrieval.Bm25Retriever(passages).search(q, a.k)).orderBy("query_id").show()
+    return 0
+
+
+def encode_benchmark(spark, a) -> int:
+    """Passages a second by batches of some sizes, over a seeded sample."""
+    rows = sampling.seeded_rows(_passages(spark, a.passages).select("passage_id", a.field), a.sample, "passage_id").cache()
+    n = rows.count()
+    for batch in (8, 32, 128):
+        began = time.perf_counter()
+        dense.encode(rows, "passage_id", a.field, batch=batch).write.format("noop").mode("overwrite").save()
+        print(f"batch {batch}: {n / (time.perf_counter() - began):.0f} passages a second")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lectern")
     s = p.add_subparsers(required=True)
@@ -113,6 +150,9 @@ def main(argv: list[str] | None = None) -> int:
     command(latex_noise, passages=str)
     command(index, passages=str, output=str, field="content", min_words=0)
     command(search, index=str, query=[], k=5)
+    command(dense_build, passages=str, output=str, field="content", limit=0, parts=16, prefix="", revision="")
+    command(dense_search, index=str, passages=str, query=[], k=5)
+    command(encode_benchmark, passages=str, field="content", sample=200)
     a = p.parse_args(argv)
     return a.run(session(), a)
 

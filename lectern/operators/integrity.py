@@ -66,9 +66,10 @@ def load_bm25(spark: SparkSession, path: str, passages: DataFrame | None = None,
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), meta
 
 
-def save_vectors(vectors: DataFrame, path: str, model: str, revision: str = "", field: str = "content", fingerprint: str | None = None) -> None:
-    vectors.select("passage_id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
-    meta = {"rules_version": RULES_VERSION, "fingerprint": fingerprint, "model": model, "revision": revision, "field": field}
+def save_vectors(vectors: DataFrame, path: str, model: str, revision: str = "", field: str = "content", fingerprint: str | None = None, prefix: str = "") -> None:
+    """Write vectors, with the tokens of their texts if they are there, and metadata; ``prefix`` is what goes before queries."""
+    vectors.select("passage_id", "embedding", *[c for c in ("n_tokens", "truncated") if c in vectors.columns]).write.mode("overwrite").parquet(f"{path}/vectors")
+    meta = {"rules_version": RULES_VERSION, "fingerprint": fingerprint, "model": model, "revision": revision, "field": field, "prefix": prefix}
     vectors.sparkSession.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 

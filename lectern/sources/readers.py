@@ -36,6 +36,53 @@ def entries(spark: SparkSession, path: str, month: str | None = None) -> DataFra
     return entry_columns(raw, month)
 
 
+#: What an entry of a feed has.
+_ENTRY = "id string, title string, summary string, published string, author array<struct<name:string>>, category array<struct<_term:string>>"
+
+
+def search_pages(spark: SparkSession, queries: list[str], get: Callable[[str, int, int], str], page: int = 50, most: int = 1000, tries: int = 3, pause: float = 3.0, wait: float = 5.0) -> DataFrame:
+    """``(query, start, body)``: the pages of the results of each query, asked for one after another.
+
+    ``get`` gives the feed of a query from ``start`` on, ``page`` entries of it. It
+    is asked again after an exception, after ``wait`` seconds times the number of
+    failures; after ``tries`` failures the query has no further pages. A page with
+    fewer entries is the last one; ``most`` entries are asked for. One task keeps
+    ``pause`` seconds between requests, as the server wants it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import time
+
+        last = 0.0
+        for b in batches:
+            for q in b.column(0).to_pylist():
+                for start in range(0, most, page):
+                    body = None
+                    for attempt in range(tries):
+                        time.sleep(max(0.0, last + pause - time.time()))
+                        last = time.time()
+                        try:
+                            body = get(q, start, min(page, most - start))
+                            break
+                        except Exception:  # noqa: BLE001 - a failed request is asked again
+                            if attempt + 1 < tries:
+                                time.sleep(wait * (attempt + 1))
+                    if body is None:
+                        break
+                    yield pa.RecordBatch.from_arrays([pa.array([q]), pa.array([start], pa.int32()), pa.array([body])], names=["query", "start", "body"])
+                    if body.count("<entry") < page:
+                        break
+
+    return spark.createDataFrame([(q,) for q in queries], "query string").coalesce(1).mapInArrow(run, "query string, start int, body string")
+
+
+def searched(pages_: DataFrame, month: str | None = None) -> DataFrame:
+    """The entries of :func:`search_pages`, each once, in the schema of papers; a page that isn't XML has none."""
+    schema = f"entry array<struct<{_ENTRY.replace(' string', ':string').replace(' array', ':array')}>>"
+    found = pages_.select(F.explode(F.from_xml("body", schema)["entry"]).alias("x")).select("x.*").where("id is not null")
+    return entry_columns(found, month).dropDuplicates(["arxiv_id"])
+
+
 def entry_columns(raw: DataFrame, month: str | None = None) -> DataFrame:
     """Entries in the schema of papers; a missing title is ``Untitled``, a missing publication the stratum ``unknown``."""
 

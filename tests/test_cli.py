@@ -16,6 +16,11 @@ def test_chunk_check_index_search(spark, tmp_path, capsys):
     assert cli.main(["index", "--passages", out, "--output", idx]) == 0
     assert cli.main(["search", "--index", idx, "--query", "retrieval paper", "--k", "2"]) == 0
     assert "2401.1_p0001" in capsys.readouterr().out
+    vec = str(tmp_path / "vectors")
+    assert cli.main(["dense-build", "--passages", out, "--output", vec, "--parts", "2"]) == 0
+    assert cli.main(["dense-search", "--index", vec, "--passages", out, "--query", "paper about retrieval", "--k", "2"]) == 0
+    assert "2401.1_p0001" in capsys.readouterr().out
+    assert cli.main(["encode-benchmark", "--passages", out, "--sample", "2"]) == 0
 
 
 def test_ingest(spark, tmp_path):
@@ -26,4 +31,6 @@ def test_ingest(spark, tmp_path):
         (pages / f"2401.{i}v1.html").write_text(f"<html><body><section id='S1'><h2>H</h2><p>Text {i}.</p></section></body></html>")
     assert cli.main(["ingest", "--entries", str(tmp_path / "e.xml"), "--pages", str(pages), "--limit", "48", "--data-dir", str(tmp_path / "data")]) == 0
     assert spark.read.parquet(str(tmp_path / "data" / "papers")).count() == 2
-    assert spark.read.json(str(tmp_path / "data" / "manifest")).first()["stats"]["papers"] == 2
+    stats = spark.read.json(str(tmp_path / "data" / "manifest")).first()["stats"]
+    assert stats["papers"] == 2 and stats["blocks"]["text"] == 2 and len(stats["months"]) == 24
+    assert [m["status"] for m in stats["months"]][:2] == ["reached", "short by 2"] and len(stats["unmet_months"]) == 23
