@@ -140,7 +140,7 @@ def _joined_scores(indexed: DataFrame, asked: DataFrame, config: Bm25Config) ->
 
 
 def _block_scores(indexed: DataFrame, asked: DataFrame, k: int, config: Bm25Config) -> DataFrame:
-    """The best ``k`` positive scores of each task's blocks, for each query."""
+    """The best ``k`` positive scores of each task for each query: no more than tasks times queries times ``k`` rows."""
     spark = indexed.sparkSession
     rows = asked.collect()  # at most BROADCAST_TERMS
     terms = sorted({r["term"] for r in rows})
@@ -165,6 +165,9 @@ def _block_scores(indexed: DataFrame, asked: DataFrame, k: int, config: Bm25Conf
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, names, eq, et, ew = shared.value
         vocabulary = pa.array(terms)
+        # of each query the best so far, and the score that others must reach
+        held: list[list[tuple[float, object, float]]] = [[] for _ in names]
+        floor = np.zeros(len(names))
         for whole in batches:
             for lo in range(0, whole.num_rows, BLOCK_ROWS):
                 b = whole.slice(lo, BLOCK_ROWS)
@@ -181,20 +184,29 @@ def _block_scores(indexed: DataFrame, asked: DataFrame, k: int, config: Bm25Conf
                 w[row, col] = tf / (tf + config.k1 * (1 - config.b + config.b * length[row] / avgdl))
                 local = np.full(len(terms), -1)
                 local[used] = np.arange(len(used))
-                out = ([], [], [])
                 for q0 in range(0, len(names), BLOCK_QUERIES):
                     part = slice(*np.searchsorted(eq, [q0, q0 + BLOCK_QUERIES]))
                     there = local[et[part]] >= 0
                     m = np.zeros((len(used), min(BLOCK_QUERIES, len(names) - q0)))
                     m[local[et[part]][there], eq[part][there] - q0] = ew[part][there]
-                    s = w @ m
+                    s = (w @ m).T
                     rounded = np.round(s, 6)
-                    for j in range(s.shape[1]):
-                        r = rounded[:, j]
-                        at = np.flatnonzero(r >= np.partition(r, len(r) - k)[len(r) - k]) if len(r) > k else np.arange(len(r))
-                        for i in sorted((i for i in at if s[i, j] > 0), key=lambda i: (-r[i], ids[i]))[:k]:
-                            out[0].append(names[q0 + j]), out[1].append(ids[i]), out[2].append(s[i, j])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], qa), pa.array(out[1], ka), pa.array(out[2], pa.float64())], names=["query_id", "passage_id", "score"])
+                    if s.shape[1] > k:
+                        # nothing below the block's own k-th score either
+                        least = np.maximum(floor[q0 : q0 + len(s)], np.partition(rounded, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                    else:
+                        least = floor[q0 : q0 + len(s)]
+                    j, i = np.nonzero((rounded >= least[:, None]) & (s > 0))
+                    edges = np.searchsorted(j, np.arange(len(s) + 1))
+                    for q in np.unique(j).tolist():
+                        at = i[edges[q] : edges[q + 1]]
+                        mine = held[q0 + q] + [(-rounded[q, x], ids[x], s[q, x]) for x in at.tolist()]
+                        held[q0 + q] = mine = sorted(mine, key=lambda e: e[:2])[:k]
+                        if len(mine) == k:
+                            floor[q0 + q] = -mine[-1][0]
+        n = [len(h) for h in held]
+        rows_ = [e for h in held for e in h]
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, m in zip(names, n) for _ in range(m)], qa), pa.array([e[1] for e in rows_], ka), pa.array([e[2] for e in rows_], pa.float64())], names=["query_id", "passage_id", "score"])
 
     return indexed.select("passage_id", "tokens", "length").mapInArrow(score, schema)
 

@@ -36,19 +36,28 @@ def section_paths(papers: DataFrame, key: str = "arxiv_id") -> DataFrame:
     its id. Equal neighbours are collapsed. Of sections that repeat an id the last
     gives the heading. A null id has no ancestors.
     """
-    heads = F.transform("sections", lambda s: F.struct(s["section_id"].alias("i"), F.trim(s["heading"]).alias("h")))
-    rows = papers.select(F.col(key), heads.alias("heads"), F.posexplode(heads).alias("s", "own"))
-    sid = F.coalesce("own.i", F.lit(""))
+    rows = papers.select(F.col(key), heads_of("sections").alias("heads"), F.posexplode(heads_of("sections")).alias("s", "own"))
+    sid, path, missing = path_of(F.col("heads"), F.col("own"))
+    return rows.select(F.col(key), "s", sid.alias("section_id"), path.alias("section_path"), missing.alias("missing"))
+
+
+def heads_of(sections: str) -> Column:
+    """The id ``i`` and heading ``h`` of each section."""
+    return F.transform(sections, lambda s: F.struct(s["section_id"].alias("i"), F.trim(s["heading"]).alias("h")))
+
+
+def path_of(heads: Column, own: Column) -> tuple[Column, Column, Column]:
+    """The id, path and lack of ancestors of the section ``own`` among ``heads``."""
+    sid = F.coalesce(own["i"], F.lit(""))
     parts = F.split(sid, r"\.")
     prefixes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).otherwise(F.array().cast("array<string>"))
-    named = F.transform(prefixes, lambda p: F.try_element_at(F.filter("heads", lambda x: x["i"] == p), F.lit(-1))["h"])
+    named = F.transform(prefixes, lambda p: F.try_element_at(F.filter(heads, lambda x: x["i"] == p), F.lit(-1))["h"])
     real = F.filter(named, lambda h: h.isNotNull() & (h != ""))
-    last = F.when(F.col("own.i").isNull(), F.col("own.h")).otherwise(F.try_element_at(F.filter("heads", lambda x: x["i"] == sid), F.lit(-1))["h"])
-    own = F.when(F.coalesce(last, F.lit("")) == "", sid).otherwise(last)
-    chain = F.concat(real, F.array(own))
+    last = F.when(own["i"].isNull(), own["h"]).otherwise(F.try_element_at(F.filter(heads, lambda x: x["i"] == sid), F.lit(-1))["h"])
+    chain = F.concat(real, F.array(F.when(F.coalesce(last, F.lit("")) == "", sid).otherwise(last)))
     slim = bound(chain, lambda c: F.filter(c, lambda x, i: (i == 0) | (x != F.get(c, i - 1))))
     abstract = F.lower(sid).contains("abstract")
-    return rows.select(F.col(key), "s", sid.alias("section_id"), F.when(abstract, "Abstract").otherwise(F.array_join(slim, " > ")).alias("section_path"), (~abstract & (F.size(real) < F.size(prefixes))).alias("missing"))
+    return sid, F.when(abstract, "Abstract").otherwise(F.array_join(slim, " > ")), ~abstract & (F.size(real) < F.size(prefixes))
 
 
 def split_table(text: str, max_words: int = OVERSIZED_WORDS) -> list[str]:
@@ -175,48 +184,53 @@ def section_pieces(blocks: list[tuple[str | None, str | None, list[str] | None]]
     return merge_short(pieces, c)
 
 
-_PIECES = "array<struct<type:string, content:string, first:int, last:int>>"
+_PIECES = "array<struct<section_id:string, section_path:string, no:int, type:string, content:string, first:int, last:int>>"
 
 
 def chunk_papers(papers: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Passages of parsed papers, with the columns of the passage schema.
 
-    Sections never share a passage, so each is packed by itself, in an Arrow
-    function without a shuffle; only the numbering needs a paper's passages
-    together. Rows that repeat an ``arxiv_id`` should be left out before. Null
+    A paper is one row with all its sections, so that it is cut and its passages are
+    numbered where it lies: nothing is joined or shuffled. Sections never share a
+    passage. Rows that repeat an ``arxiv_id`` should be left out before. Null
     sections and papers without blocks give nothing. Ids go on over the sections
     of a paper, from 1.
     """
-    paths = section_paths(papers)
-    sections = papers.select("arxiv_id", "clean_id", "title", "month_stratum", "published", F.posexplode("sections").alias("s", "sec"))
 
     def said(content: Column) -> Column:
         plain = F.when(F.contains(content, F.lit(MARKER)), F.trim(F.regexp_replace(F.replace(content, F.lit(MARKER), F.lit("")), r"(?U)\s+", " "))).otherwise(content)
         return sentences(plain)
 
-    blocks = F.transform(F.coalesce("sec.blocks", F.array().cast("array<struct<section_id:string,type:string,content:string>>")), lambda b: F.struct(b["type"].alias("type"), b["content"].alias("content"), F.when(b["type"].isin("text", "equation"), said(b["content"])).alias("said")))
-    rows = sections.select("arxiv_id", "s", blocks.alias("blocks"))
+    def section(s: Column, head: Column) -> Column:
+        sid, path, _ = path_of(F.col("heads"), head)
+        blocks = F.transform(F.coalesce(s["blocks"], F.array().cast("array<struct<section_id:string,type:string,content:string>>")), lambda b: F.struct(b["type"].alias("type"), b["content"].alias("content"), F.when(b["type"].isin("text", "equation"), said(b["content"])).alias("said")))
+        return F.struct(sid.alias("section_id"), path.alias("section_path"), blocks.alias("blocks"))
+
+    clean = F.coalesce("clean_id", F.substring_index("arxiv_id", "v", 1))
+    rows = papers.select("arxiv_id", clean.alias("clean_id"), "title", F.coalesce("month_stratum", F.substring("published", 1, 7)).alias("month_stratum"), "sections", heads_of("sections").alias("heads"))
+    rows = rows.select("arxiv_id", "clean_id", "title", "month_stratum", F.zip_with("sections", "heads", section).alias("sections"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("type", pa.string()), ("content", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
+        kind = pa.list_(pa.struct([(c, pa.int32() if c in ("no", "first", "last") else pa.string()) for c in ("section_id", "section_path", "no", "type", "content", "first", "last")]))
         for b in batches:
             out = []
-            for own in b.column(2).to_pylist():
-                pieces = section_pieces([(x["type"], x["content"], x["said"]) for x in own], config)
-                out.append([{"type": p.kind, "content": p.content, "first": p.first, "last": p.last} for p in pieces])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], names=["arxiv_id", "s", "pieces"])
-
-    cut = rows.mapInArrow(run, f"arxiv_id string, s int, pieces {_PIECES}")
-    meta = papers.select("arxiv_id", F.coalesce("clean_id", F.substring_index("arxiv_id", "v", 1)).alias("clean_id"), "title", F.coalesce("month_stratum", F.substring("published", 1, 7)).alias("month_stratum"))
-    flat = cut.join(paths, ["arxiv_id", "s"]).select("arxiv_id", "s", "section_id", "section_path", F.posexplode("pieces").alias("pos", "p")).join(meta, "arxiv_id")
-    number = F.row_number().over(Window.partitionBy("arxiv_id").orderBy("s", "pos"))
-    content = F.col("p.content")
+            for sections in b.column("sections").to_pylist():
+                own = []
+                for x in sections or []:
+                    for p in section_pieces([(y["type"], y["content"], y["said"]) for y in x["blocks"]], config):
+                        own.append({"section_id": x["section_id"], "section_path": x["section_path"], "no": len(own) + 1, "type": p.kind, "content": p.content, "first": p.first, "last": p.last})
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("arxiv_id", "clean_id", "title", "month_stratum")), pa.array(out, kind)], names=["arxiv_id", "clean_id", "title", "month_stratum", "pieces"])
+
+    cut = rows.mapInArrow(run, f"arxiv_id string, clean_id string, title string, month_stratum string, pieces {_PIECES}")
+    flat = cut.select("arxiv_id", "clean_id", "title", "month_stratum", F.explode("pieces").alias("p")).select("arxiv_id", "clean_id", "title", "month_stratum", "p.*")
+    content = F.col("content")
     count = F.size(F.filter(F.split(content, r"(?U)\s+"), lambda x: x != ""))
     return flat.select(
-        "arxiv_id", "clean_id", "title", "month_stratum", "section_id", "section_path", F.array("p.first", "p.last").alias("block_range"), F.col("p.type").alias("type"),
-        count.alias("word_count"), F.length(content).alias("char_count"), F.concat(F.lit(config.site + "/"), "arxiv_id", F.lit("#"), "section_id").alias("section_url"), content.alias("content"),
+        "arxiv_id", "clean_id", "title", "month_stratum", "section_id", "section_path", F.array("first", "last").alias("block_range"), "type",
+        count.alias("word_count"), F.length(content).alias("char_count"), F.concat(F.lit(config.site + "/"), "arxiv_id", F.lit("#"), "section_id").alias("section_url"), content,
         F.concat(F.lit("Document: "), F.coalesce("title", F.lit("")), F.lit("\nSection: "), "section_path", F.lit("\n\n"), content).alias("contextual_content"),
-        F.when(count > OVERSIZED_WORDS, True).alias("oversized"), F.format_string("%s_p%04d", F.col("clean_id"), number).alias("passage_id"),
+        F.when(count > OVERSIZED_WORDS, True).alias("oversized"), F.format_string("%s_p%04d", "clean_id", "no").alias("passage_id"),
     )
 
 

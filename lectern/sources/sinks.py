@@ -34,7 +34,8 @@ def manifest(papers: DataFrame, skipped: DataFrame, shortfalls: list[tuple[str,
     ``spine`` has months with quotas, a row each; without one the months are left empty.
     """
     spark = papers.sparkSession
-    blocks = block_totals(papers).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "blocks")))).alias("blocks"))  # a few types
+    counted = papers if "block_counts" in papers.columns else papers.withColumn("block_counts", F.lit(None).cast("map<string,int>"))
+    blocks = block_totals(counted).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "blocks")))).alias("blocks"))  # a few types
     s = corpus_statistics(papers).crossJoin(skipped.agg(F.count("*").alias("skipped"))).crossJoin(blocks)  # one row each
     kind = "array<struct<month:string,target:int,achieved:bigint,skipped:bigint,status:string>>"
     if spine is None:

@@ -56,6 +56,24 @@ def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_papers_are_cut_without_a_shuffle(spark):
+    from lectern import schemas
+    from lectern.operators import chunking
+
+    plan = chunking.chunk_papers(spark.createDataFrame([], schemas.PAPER))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_scores_that_leave_a_task_are_few(spark):
+    from lectern.operators import bm25
+
+    p = spark.range(5000, numPartitions=3).selectExpr("cast(id as string) passage_id", "'text' type", "5 word_count", "concat('red ', if(id % 2 = 0, 'blue ', 'green '), cast(id % 7 as string)) content")
+    indexed = bm25.indexed_text(p)
+    asked = bm25.query_terms(spark.createDataFrame([(i, f"red {i}") for i in range(10)], "query_id int, query string"))
+    found = bm25._block_scores(indexed, asked, 4, bm25.Bm25Config())
+    assert 10 * 4 <= found.count() <= 3 * 10 * 4
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     from lectern.plans import catalogue
 
