@@ -1,6 +1,7 @@
 """Cutting lineage with tables written to the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that setting is
+The folder is the session's ``spark.checkpoint.dir``; what a session wrote there is
+removed when its driver ends, or by :func:`clear`. Only where that setting is
 absent and all work is done in one process (a local master, as in tests) a folder of
 its own is made, once per session, and removed when the process ends; on a cluster
 that is an error, as each executor would write to a folder that no other one sees.
@@ -16,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _remove_at_exit(spark: SparkSession) -> None:
+    """Have the session's folder removed when the driver ends, if its JVM still answers then."""
+    app = spark.sparkContext.applicationId
+    if app in _MARKED:
+        return
+    _MARKED.add(app)
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)), spark._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # noqa: BLE001 - the JVM went first
+            return
+
+    atexit.register(remove)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -40,6 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     any executor, and its readers have a short plan.
     """
     spark = df.sparkSession
+    _remove_at_exit(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

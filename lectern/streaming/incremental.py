@@ -19,17 +19,20 @@ def chunk_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
 
     The checkpoint remembers what was read. Each batch has a folder of its own,
     which a repeated batch overwrites, so that nothing is written twice after a
-    failure. Papers already chunked in earlier batches are left out.
+    failure. The ids of all papers read, with or without passages, are kept beside
+    them in ``<target>_done``, by which papers of earlier batches are left out.
     """
+    done = f"{target.rstrip('/')}_done"
     stream = spark.readStream.schema(schemas.PAPER).option("maxFilesPerTrigger", files).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         fresh = batch.dropDuplicates(["arxiv_id"])
         if number:
-            earlier = [f"{target}/batch={i}" for i in range(number)]
-            fresh = fresh.join(session.read.schema(schemas.PASSAGE).parquet(*earlier).select("arxiv_id").distinct(), "arxiv_id", "left_anti")
+            earlier = session.read.schema("arxiv_id string, batch bigint").parquet(done).where(F.col("batch") < number).select("arxiv_id")
+            fresh = fresh.join(earlier, "arxiv_id", "left_anti")
         chunk_papers(fresh, config).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        fresh.select("arxiv_id").write.mode("overwrite").parquet(f"{done}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
