@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .sentences import sentence_ends
 
 MAX_WORDS, MAX_CHARS, OVERLAP = 350, 3000, 40
+#: Characters of a word of the overlap at most, on average, where texts have no spaces.
+OVERLAP_WORD = 12
 MARKER = "[EQUATION]"
 #: Fixed value: the code points with the property White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -39,12 +41,13 @@ def pieces(content: str, table: bool, max_words: int = MAX_WORDS, max_chars: int
     of paragraphs, sentences and rows are a sorted array of word numbers; a piece
     goes to the last of them under the limit, found by binary search, or is cut
     hard. The next piece begins about ``overlap`` words before, at a boundary if
-    there is one near, but always after the beginning of this one.
+    there is one near, but always after the beginning of this one; of texts without
+    spaces it repeats up to ``overlap * OVERLAP_WORD`` characters.
     """
     text = content.replace(MARKER, "")
     ends = [m.end() for m in _LINE.finditer(text)] + [len(text)] if table else sentence_ends(text)
     # words are cut, without a space between, at the ends of sentences in them and if they are very long
-    part, spans, k = max(1, max_chars // 4), [], 0
+    part, spans, k = max(1, min(max_chars // 4, overlap * OVERLAP_WORD // 2)), [], 0
     for m in _TOKEN.finditer(text):
         at, stop = m.span()
         while at < stop:
@@ -77,7 +80,8 @@ def pieces(content: str, table: bool, max_words: int = MAX_WORDS, max_chars: int
         out.append((at, end, int(np.searchsorted(breaks, at, "right")), int(np.searchsorted(breaks, end - 1, "right")), said))
         if end >= n:
             break
-        back = end - min(overlap, (end - at) // 2)
+        # where words are as long as sentences, fewer of them are repeated
+        back = max(end - min(overlap, (end - at) // 2), int(np.searchsorted(sums, sums[end] - overlap * OVERLAP_WORD, "left")))
         lo, hi = np.searchsorted(bounds, [max(at + 1, back - overlap // 2), end - (end - back) // 2])
         near = bounds[lo:hi]
         at, done = int(near[np.argmin(np.abs(near - back))]) if len(near) else back, end

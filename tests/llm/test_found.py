@@ -183,6 +183,20 @@ def test_pieces_overlap_and_cuts():
     assert not oversized.pieces(table, True)[0] and oversized.pieces(table, False)[0]
 
 
+@pytest.mark.parametrize("stop", ["。", ""])
+def test_texts_without_spaces_repeat_little(stop):
+    rnd = random.Random(9)
+    text = "".join("".join(chr(rnd.randrange(0x4E00, 0x8000)) for _ in range(rnd.randint(5, 60))) + stop for _ in range(280))
+    _, made = oversized.pieces(text, False)
+    at = 0
+    for p in made:
+        assert len(p[4]) <= 3000
+        begin = text.index(p[4], max(0, at - 600)) if at else 0
+        assert 0 <= at - begin <= oversized.OVERLAP * oversized.OVERLAP_WORD
+        at = begin + len(p[4])
+    assert at == len(text) and len(made) <= 5
+
+
 def test_split_oversized(spark):
     long = " ".join(f"Sentence {i} is here." for i in range(120))
     rows = [("passage", "p1", "text", [2, 3], long[: len(long) // 2] + ".\n\n" + "And " + long), ("passage", "p2", "text", None, "short"), ("passage", "p3", None, [0, 0], long), ("passage", "p3", None, [0, 0], long), ("passage", "p4", "text", None, None), ("passage", "p5", "text", None, ""), ("block", "b", "table", [4, 4], "\n".join("| " + "cell " * 20 + "|" for _ in range(40))), ("block", "at", "text", None, "w " * 350)]
