@@ -100,7 +100,7 @@ def _line_kind(line: str, words: list[str], common: float) -> str:
         return "prose"
     if _HEX.match(line) or _LOG.match(line):
         return "code"
-    if _counts(line)[0] > 0.5 * n and len(set(line)) > 12 and sum(map(str.isalnum, line)) < 0.2 * n:  # signs without cells
+    if sum(map(len, words)) < 0.2 * n and len(set(line)) > 12 and _counts(line)[0] > 0.5 * n and sum(map(str.isalnum, line)) < 0.2 * n:  # signs without cells
         return "code"
     # white space between cells; pipes; ampersands of LaTeX rows; commas without spaces
     if line.count("|") >= 2 and (line[0] == "|" or line.count(" | ") >= 2) or "\t" in line and common < 0.2 or line.endswith("\\\\") and "&" in line or line.count(" & ") >= 2 and common < 0.1:
@@ -136,8 +136,8 @@ def statistics(text: str, common: Common) -> list[float]:
         line = (_QUOTE.sub("", raw, count=1) if raw.lstrip()[:1] == ">" else raw).strip()
         if not line:
             continue
-        separated += any(raw.count(c) > 1 for c in (",", ";", "|", "\t", "&")) or len(_WIDE.findall(line)) > 1
-        bullets += bool(_BULLET.match(line))
+        separated += raw.count(",") > 1 or raw.count("|") > 1 or raw.count(";") > 1 or raw.count("\t") > 1 or raw.count("&") > 1 or "  " in line and len(_WIDE.findall(line)) > 1
+        bullets += not line[0].isupper() and bool(_BULLET.match(line))
         low = line.lower()
         own = _words(low)
         words += own
@@ -170,8 +170,8 @@ def statistics(text: str, common: Common) -> list[float]:
         float(n), float(w), float(len(lines)), sum(map(len, words)) / w if w else 0.0, symbols / max(1, dense), digits / max(1, dense),
         weight / w if w else 0.0, ends / len(lines), short / len(lines), sum(map(len, lines)) / len(lines), w / (marks + 1), unique / w if w else 0.0,
         pair / w if w else 0.0, noisy / max(1, len(chunks)), len([c for c in chunks if len(c) > 30]) / len(chunks),
-        separated / len(lines), bullets / len(lines), float(len({c for c in text if not (c.isalnum() or c.isspace())})),
-        len([c for c in chunks if not c.isalpha() and _MIXED.search(c)]) / len(chunks),
+        separated / len(lines), bullets / len(lines), float(sum(not (c.isalnum() or c.isspace()) for c in set(text))),
+        len([c for c in chunks if not c.isalpha() and _MIXED.search(c)]) / len(chunks) if digits else 0.0,
         size["prose"] / total, size["list"] / total, size["table"] / total, size["code"] / total, size["bare"] / total,
     ]
 
