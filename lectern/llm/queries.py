@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +29,23 @@ def _contents(spark: SparkSession, sf_dir: str, complete: bool) -> forest.Found:
     return forest.near_duplicates(_table(spark, sf_dir, "passages").where("type = 'text'"), "passage_id", "content", run=3, least=0.5, least_words=40, complete=complete)
 
 
+def _both(spark: SparkSession, sf_dir: str, complete: bool) -> tuple[forest.Found, forest.Found]:
+    """Titles and contents, whose jobs don't depend on each other, side by side."""
+    with ThreadPoolExecutor(2) as pool:
+        title, content = pool.submit(_titles, spark, sf_dir, complete), pool.submit(_contents, spark, sf_dir, complete)
+        return title.result(), content.result()
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = forest.record_pairs(_titles(spark, sf_dir, True)).withColumn("field", F.lit("title"))
-    content = forest.record_pairs(_contents(spark, sf_dir, True)).withColumn("field", F.lit("content"))
-    return title.unionByName(content).select("field", "key_a", "key_b")
+    title, content = (forest.record_pairs(x) for x in _both(spark, sf_dir, True))
+    rows = title.withColumn("field", F.lit("title")).unionByName(content.withColumn("field", F.lit("content")))
+    return rows.select("field", "key_a", "key_b")
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = forest.groups(_titles(spark, sf_dir, False)).withColumn("field", F.lit("title"))
-    content = forest.groups(_contents(spark, sf_dir, False)).withColumn("field", F.lit("content"))
-    return title.unionByName(content).select("field", "key", "class_id", "group_id", "links")
+    title, content = (forest.groups(x) for x in _both(spark, sf_dir, False))
+    rows = title.withColumn("field", F.lit("title")).unionByName(content.withColumn("field", F.lit("content")))
+    return rows.select("field", "key", "class_id", "group_id", "links")
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
