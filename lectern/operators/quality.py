@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,12 +87,10 @@ def block_grams(papers: DataFrame) -> DataFrame:
     return blocks(papers).where("type = 'text'").select("arxiv_id", _sid().alias("sid"), "s", "b", T.ngram_hashes(T.words(_unmarked(F.col("content")))).alias("grams"))
 
 
-def section_grams(papers: DataFrame) -> DataFrame:
-    """``(arxiv_id, sid, grams)``: hashes of the 8-grams of each section's text and equation blocks, joined; of repeated sections the last."""
+def section_texts(papers: DataFrame) -> DataFrame:
+    """``(arxiv_id, sid, s, text)``: each section's text and equation blocks, joined, without formula marks."""
     own = papers.select("arxiv_id", F.posexplode("sections").alias("s", "x")).select("arxiv_id", "s", F.col("x.section_id").alias("section_id"), F.filter("x.blocks", lambda b: b["type"].isin("text", "equation")).alias("blocks"))
-    text = F.array_join(F.transform("blocks", lambda b: _unmarked(b["content"])), " ")
-    last = own.select("arxiv_id", _sid().alias("sid"), "s", T.ngram_hashes(T.words(text)).alias("grams")).groupBy("arxiv_id", "sid").agg(F.max_by("grams", "s").alias("grams"))
-    return last.select("arxiv_id", "sid", F.coalesce("grams", F.array().cast("array<bigint>")).alias("grams"))
+    return own.select("arxiv_id", _sid().alias("sid"), "s", F.array_join(F.transform("blocks", lambda b: _unmarked(b["content"])), " ").alias("text"))
 
 
 def passage_grams(passages: DataFrame) -> DataFrame:
@@ -112,20 +112,72 @@ def gram_coverage(papers: DataFrame, passages: DataFrame) -> DataFrame:
     return j.agg(F.sum("c").alias("source"), F.sum(F.least("c", F.coalesce("d", F.lit(0)))).alias("covered")).withColumn("percent", F.bround(F.try_divide(F.col("covered") * 100.0, "source"), 4))
 
 
-def gram_leaks(papers: DataFrame, passages: DataFrame) -> DataFrame:
+#: Text passages of one paper that go to one task; a paper with more is examined in parts.
+PART = 20_000
+
+
+def _among(grams: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of the grams are in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(grams), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, grams), len(ordered) - 1)] == grams
+
+
+def _leaking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leaks of passages. Rows come by paper, its sections in order before its passages; one paper's sections are kept."""
+    now, sections, ordered, every = None, {}, {}, None
+    for batch in batches:
+        at, grams = (getattr(batch.column("grams"), k).to_numpy() for k in ("offsets", "values"))
+        places, leaks = [], []
+        for i, (paper, part, sid, s) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("arxiv_id", "part", "sid", "s")), strict=True)):
+            if (paper, part) != now:
+                now, sections, ordered, every = (paper, part), {}, {}, None
+            own = grams[at[i] : at[i + 1]]
+            if s is not None:
+                sections[sid] = own  # of repeated sections the last
+                continue
+            if not len(own) or sid not in sections:
+                continue
+            if sid not in ordered:
+                ordered[sid] = np.unique(sections[sid])
+            foreign = own[~_among(own, ordered[sid])]
+            if len(foreign) and len(sections) > 1:
+                every = np.unique(np.concatenate(list(sections.values()))) if every is None else every
+                if n := int(_among(foreign, every).sum()):
+                    places.append(i)
+                    leaks.append(n)
+        if places:
+            yield pa.RecordBatch.from_arrays([batch.column("passage_id").take(pa.array(places)), pa.array(leaks, pa.int64())], ["passage_id", "leaks"])
+
+
+def gram_leaks(papers: DataFrame, passages: DataFrame, part: int = PART) -> DataFrame:
     """``(passage_id, leaks)``: 8-grams of a text passage, each time they occur, that its own section lacks and another section of its paper has.
 
     A section's grams are those of its text and equation blocks joined to one text,
-    without marks of formulas. Passages of sections that the paper lacks aren't
-    examined.
+    without marks of formulas; of repeated sections the last counts. Passages of
+    sections that the paper lacks aren't examined.
+
+    Texts are moved once, to the task of their paper, and grams are made there, as
+    hashes; they are never shuffled. Papers with more than ``part`` text passages
+    are counted first: their passages are dealt out to several tasks, each of which
+    gets the sections.
     """
-    sections = section_grams(papers)
-    src = sections.select("arxiv_id", "sid", F.explode("grams").alias("h")).distinct()
-    own = passage_grams(passages).join(sections.select("arxiv_id", "sid"), ["arxiv_id", "sid"], "left_semi")
-    own = own.select("passage_id", "arxiv_id", "sid", F.explode("grams").alias("h")).groupBy("passage_id", "arxiv_id", "sid", "h").agg(F.count("*").alias("c"))
-    foreign = own.join(src, ["arxiv_id", "sid", "h"], "left_anti")
-    other = src.select("arxiv_id", "h").distinct()
-    return foreign.join(other, ["arxiv_id", "h"], "left_semi").groupBy("passage_id").agg(F.sum("c").alias("leaks"))
+    texts = passages.where("type = 'text' and arxiv_id is not null").select("arxiv_id", "passage_id", _sid().alias("sid"), F.coalesce("content", F.lit("")).alias("text"))
+    sections = section_texts(papers.where("arxiv_id is not null"))
+    large = texts.groupBy("arxiv_id").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")
+    if found := large.collect():  # at most a row for so many passages
+        few = F.broadcast(papers.sparkSession.createDataFrame(found, large.schema))
+        parts = F.coalesce("parts", F.lit(1))
+        texts = texts.join(few, "arxiv_id", "left").withColumn("part", F.pmod(F.xxhash64("passage_id", "text"), parts).cast("int"))
+        sections = sections.join(few, "arxiv_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    else:
+        texts, sections = texts.withColumn("part", F.lit(0)), sections.withColumn("part", F.lit(0))
+    kind = passages.schema["passage_id"].dataType.simpleString()
+    columns = ["arxiv_id", "part", "passage_id", "sid", "s", "text"]
+    rows = sections.withColumn("passage_id", F.lit(None).cast(kind)).select(columns).union(texts.withColumn("s", F.lit(None).cast("int")).select(columns))
+    near = rows.repartition("arxiv_id", "part").sortWithinPartitions("arxiv_id", "part", F.asc_nulls_last("s"))
+    examined = near.select(*columns[:-1], T.ngram_hashes(T.words(F.col("text"))).alias("grams")).mapInArrow(_leaking, f"passage_id {kind}, leaks bigint")
+    return examined.groupBy("passage_id").agg(F.sum("leaks").alias("leaks"))
 
 
 def size_buckets(passages: DataFrame, small: int = 60, tiny: int = 20, large: int = 350) -> DataFrame:

@@ -38,6 +38,36 @@ def test_leaks_are_counted_each_time_and_across_blocks(spark):
     assert got == {"x1": 6, "x3": 3}
 
 
+def _shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    lists = spark.sparkContext._jvm.java.util.ArrayList
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(lists(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), lists())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_leaks_shuffle_texts_and_not_their_grams(spark):
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.sha1(F.concat_ws("-", i, "s", "id")).substr(1, 6)), " ")
+    one = spark.range(100).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("content", text)
+    section = F.struct(F.concat(F.lit("S"), "s").alias("section_id"), F.array(F.struct(F.lit("text").alias("type"), "content")).alias("blocks"))
+    p = one.groupBy(F.concat(F.lit("p"), "id").alias("arxiv_id")).agg(F.array_sort(F.collect_list(section)).alias("sections")).localCheckpoint()
+    x = one.select(F.concat_ws("_", "id", "s").alias("passage_id"), F.concat(F.lit("p"), "id").alias("arxiv_id"), F.concat(F.lit("S"), F.when(F.col("id") == 0, 0).otherwise(F.col("s"))).alias("section_id"), F.lit("text").alias("type"), "content").localCheckpoint()
+    before, size = _shuffled(spark), 2 * one.agg(F.sum(F.length("content"))).first()[0]
+    found = Q.gram_leaks(p, x)
+    assert {r["passage_id"]: r["leaks"] for r in found.collect()} == {f"0_{i}": 193 for i in range(1, 5)}
+    assert _shuffled(spark) - before < size
+    # no side of a join that a driver may have to broadcast
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_leaks_of_a_paper_with_many_passages(spark):
+    p = papers(spark, ("S1", [("text", TWO)]), ("S2", [("text", TWO), ("equation", ONE)]), ("S1", [("text", ONE)]), ("S3", []), ("S4", [("text", ONE.upper())]))
+    rows = [("S1", ONE), ("S1", TWO), ("S2", ONE.upper()), ("S3", f"{ONE} {TWO}"), ("S5", ONE), ("S4", "w0 w1"), (None, ONE)] * 3
+    want = {f"x{i}": {1: 3, 2: 3, 3: 6}[i % 7] for i in range(len(rows)) if i % 7 in (1, 2, 3)}
+    x = passages(spark, *rows).union(spark.createDataFrame([("n1", None, "S1", "text", TWO), ("n2", "other", "S1", "text", TWO)], "passage_id string, arxiv_id string, section_id string, type string, content string"))
+    for part in (1, 4, 1000):
+        assert {r["passage_id"]: r["leaks"] for r in Q.gram_leaks(p, x, part).collect()} == want
+
+
 def test_noise_thresholds(spark):
     texts = [r"\a " * n + "word " * 4 for n in (0, 19, 20, 49, 50)] + [r"\b " * 25 + "term " * 600, "term " * 513]
     p = spark.createDataFrame([(f"p{i // 3}_{i}", "text", t) for i, t in enumerate(texts)] + [("t_1", "table", "x"), ("n_1", "text", None)], "passage_id string, type string, content string")
